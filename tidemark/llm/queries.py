@@ -6,9 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import language, media, sharding
+from tidemark.llm import bpe, language, media, sharding
 from tidemark.llm.common import ship_package, table
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -26,6 +32,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op6_sharding, op7_language_id)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op6_sharding, op7_language_id, op9_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
