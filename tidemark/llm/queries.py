@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, language, media, sharding
+from tidemark.llm import bpe, language, media, neardup, sharding
 from tidemark.llm.common import ship_package, table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -37,6 +37,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op6_sharding, op7_language_id, op9_bpe)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
