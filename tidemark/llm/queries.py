@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, language, media, neardup, sharding
+from tidemark.llm import bpe, decontaminate, language, media, neardup, sharding
 from tidemark.llm.common import ship_package, table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +23,11 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
@@ -42,6 +47,6 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op5_decontaminate, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {}
