@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language, media, neardup, sharding, warc
+from tidemark.llm import bpe, decontaminate, language, media, neardup, sharding, urlfilter, warc
 from tidemark.llm.common import ship_package, table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -18,6 +18,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return media.media_columns(table(spark, sf_dir, "documents"))
@@ -52,7 +56,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_media_columns, op3_warc, op5_decontaminate, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op5_decontaminate, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
