@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bpe, decontaminate, language, media, neardup, sharding, urlfilter, warc
+from tidemark.llm import bpe, decontaminate, language, media, neardup, pii, secrets, sharding, urlfilter, warc
 from tidemark.llm.common import ship_package, table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -32,6 +32,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,6 +51,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return pii.scan_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path(), ids=False)
@@ -56,7 +66,7 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op5_decontaminate, op6_sharding, op7_language_id, op9_bpe, op10_minhash_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op4_secret_scan, op5_decontaminate, op6_sharding, op7_language_id, op8_pii, op9_bpe, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
