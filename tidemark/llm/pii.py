@@ -11,9 +11,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.spans import Span, span_table
+from tidemark.llm.spans import Span, masked, span_table
 from tidemark.llm.tagger import Tagger, character_ids, fit
 
 KINDS = ("email", "ip", "card", "phone")
@@ -205,3 +206,27 @@ def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())
     return span_table(docs, lambda texts: find_personal_data(texts, model.value), KINDS, KINDS, id_col, text_col, mask)
+
+
+def masked_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with personal data in text_col replaced by [EMAIL], [IP], [CARD] or [PHONE] and length_col set to the new length.
+
+    Other columns are carried along unchanged; a text without personal data stays as it is, and a null one null.
+    """
+    names = docs.columns
+    if names.count(text_col) != 1 or length_col not in names:
+        raise ValueError(f"one column {text_col} and a column {length_col} are needed")
+    model = docs.sparkSession.sparkContext.broadcast(trained())
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            texts = batch.column(names.index(text_col)).to_pylist()
+            found = find_personal_data([x or "" for x in texts], model.value)
+            texts = [masked(t, [*own, *more], KINDS) if own or more else t for t, (own, more) in zip(texts, found, strict=True)]
+            columns = list(batch.columns)
+            columns[names.index(text_col)] = pa.array(texts, batch.schema.field(names.index(text_col)).type)
+            lengths = [None if t is None else len(t) for t in texts]
+            columns[names.index(length_col)] = pa.array(lengths, batch.schema.field(names.index(length_col)).type)
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,6 +66,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir).drop("ids")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op4_secret_scan, op5_decontaminate, op6_sharding, op7_language_id, op8_pii, op9_bpe, op10_minhash_dedup)}
 
 ORACLE_SQL: dict[str, str] = {
