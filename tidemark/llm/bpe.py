@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick, work_folder, written
 
 #: Characters of text after which a block ends; a longer text is a block of its own.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 #: bucket of a row: a document's places, a block's list of buckets by place, or (from 0) words dealt to that bucket.
 DOCUMENT, ORDER = -1, -2
 #: Words as the tokenizer file's pattern splits lower-cased text, for characters below U+0100, where its classes are these.
@@ -115,6 +115,36 @@ def unpack_places(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)
 
 
+#: Numbers below the first take one byte, the next MEDIUM * 256 two and the rest three; places are numbered by falling frequency.
+_SHORT, _MEDIUM = 128, 112
+_TWO, _THREE = _SHORT + _MEDIUM * 256, _SHORT + _MEDIUM * 256 + (256 - _SHORT - _MEDIUM) * 65536
+
+
+def pack_ranks(places: np.ndarray) -> bytes:
+    """Numbers of which most are small: all first bytes, then the second ones of those that have two, then the two more of the rest."""
+    if len(places) and places.max() >= _THREE:
+        return b"\0" + pack_places(places)
+    two, three = (places >= _SHORT) & (places < _TWO), places >= _TWO
+    first = np.where(three, _SHORT + _MEDIUM + ((places - _TWO) >> 16), np.where(two, _SHORT + ((places - _SHORT) >> 8), places)).astype(np.uint8)
+    middle, long = places[two] - _SHORT, places[three] - _TWO
+    parts = (np.array([len(places)], "<i8"), first, (middle & 255).astype(np.uint8), (long & 255).astype(np.uint8), (long >> 8 & 255).astype(np.uint8))
+    return b"\1" + pack(b"".join(x.tobytes() for x in parts))
+
+
+def unpack_ranks(data: bytes) -> np.ndarray:
+    if data[:1] == b"\0":
+        return unpack_places(data[1:])
+    raw = unpack(data[1:])
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    values = np.frombuffer(raw, np.uint8, offset=8).astype(np.int32)
+    out = values[:n].copy()
+    two, three = np.flatnonzero((out >= _SHORT) & (out < _SHORT + _MEDIUM)), np.flatnonzero(out >= _SHORT + _MEDIUM)
+    a, b = n + len(two), n + len(two) + len(three)
+    out[two] = ((out[two] - _SHORT) << 8) + values[n:a] + _SHORT
+    out[three] = ((out[three] - _SHORT - _MEDIUM) << 16) + values[a:b] + (values[b:] << 8) + _TWO
+    return out
+
+
 _LINK = "block long, bucket int, doc_id {kind}, data binary"
 
 
@@ -128,8 +158,14 @@ def split_blocks(path: str, buckets: int, block_chars: int, id_type: pa.DataType
 
         def close() -> pa.RecordBatch:
             block = (part << 32) + seq
-            words = list(known)
-            rows = [(DOCUMENT, i, s) for i, s in zip(ids, streams, strict=True)]
+            words, fixed = list(known), len(own.special)
+            uses = np.zeros(fixed + len(words), np.int64)
+            for x in streams:
+                np.add.at(uses, x, 1)
+            by = np.argsort(-uses[fixed:], kind="stable")
+            words, rank = [words[i] for i in by], np.arange(len(uses), dtype=np.int32)
+            rank[by + fixed] = np.arange(fixed, len(uses))
+            rows = [(DOCUMENT, i, pack_ranks(rank[x])) for i, x in zip(ids, streams, strict=True)]
             if words:
                 # a bucket by the hash of the word's bytes
                 bucket = np.fromiter((int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little") for w in words), np.int64, len(words)) % buckets
@@ -146,7 +182,7 @@ def split_blocks(path: str, buckets: int, block_chars: int, id_type: pa.DataType
                     yield close()
                     known, ids, streams, chars, seq = Places(len(own.special)), [], [], 0, seq + 1
                 ids.append(doc_id)
-                streams.append(pack_places(own.places(text, known)))
+                streams.append(own.places(text, known))
                 chars += len(text)
         if ids:
             yield close()
@@ -234,7 +270,7 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS,
         for bucket, doc_id, data in zip(block.column("bucket").to_pylist(), block.column("doc_id").to_pylist(), block.column("data"), strict=True):
             if bucket != DOCUMENT:
                 continue
-            places = unpack_places(data.as_py())
+            places = unpack_ranks(data.as_py())
             at = places.tolist()
             out["doc_id"].append(doc_id)
             out["n_tokens"].append(int(counts[places].sum()))
