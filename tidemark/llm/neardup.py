@@ -5,10 +5,12 @@
    smallest id; signatures are compared in batches, and a pair goes when the posterior probability that its similarity
    reaches the threshold falls below the chosen miss probability.
 3. Survivors are verified on full sets made from their texts, and the links' components found.
-4. In buckets that still hold several components, all pairs of classes from different components are compared in cells of bounded
-   size; a pair is reported by its first common band alone. Survivors are verified in the same way, and components found again.
+4. Survivors also join classes to families. A family that still holds several components is laid out in cells of bounded size,
+   two blocks of its classes each; a cell compares and verifies all pairs of different components, and gives only the links that join some.
+5. In buckets that still hold several components, all pairs of different components and families are compared in cells of bounded
+   size; a pair is reported by its first common band alone. Survivors are verified like the first ones, and components found again.
 
-Pairs within a component are never made, texts move only for candidates, and no cap is set on a bucket.
+Pairs within a component are never made, nor are a family's pairs; texts move only for candidates, and no cap is set on a bucket.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ THRESHOLD = 75
 MISS = 1e-5
 #: Classes on a side of a cell in which a bucket's pairs are compared; pairs and shingles that one hub's group verifies.
 CELL, GROUP_PAIRS, GROUP_SHINGLES = 256, 64, 200_000
+#: Classes and shingles of a block of a family.
+BLOCK, BLOCK_SHINGLES = 128, 400_000
 #: Ids up to which those of candidates are broadcast to choose their texts; above, the join shuffles.
 BROADCAST_IDS = 300_000
 _GATHER = 200_000
@@ -164,12 +168,12 @@ def compare_cells(limits: list[tuple[int, int]], threshold: int) -> Callable[[It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in groups(batches, ["band", "key", "row", "col"]):
-            part, ids, label, size = (cell.column(c).to_numpy() for c in ("part", "id", "label", "n"))
+            part, ids, label, family, size = (cell.column(c).to_numpy() for c in ("part", "id", "label", "family", "n"))
             signature = _signatures(cell.column("signature"))
             row, col, band = (cell.column(c)[0].as_py() for c in ("row", "col", "band"))
             x, y = np.flatnonzero(part == row), np.flatnonzero(part == col)
             i, j = (z.reshape(-1) for z in np.meshgrid(x, y, indexing="ij"))
-            wanted = (label[i] != label[j]) & (100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
+            wanted = (label[i] != label[j]) & (family[i] != family[j]) & (100 * np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]))
             if row == col:
                 wanted &= i < j
             i, j = i[wanted], j[wanted]
@@ -186,6 +190,50 @@ def compare_cells(limits: list[tuple[int, int]], threshold: int) -> Callable[[It
     return run
 
 
+def verify_cells(size: int, limits: list[tuple[int, int]], threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (a, b) that join components within each cell (family, row, col), from its rows with texts sorted by cell."""
+    form = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in groups(batches, ["family", "row", "col"]):
+            part, ids, label, n = (cell.column(c).to_numpy() for c in ("part", "id", "label", "n"))
+            signature, text = _signatures(cell.column("signature")), cell.column("text")
+            row, col = cell.column("row")[0].as_py(), cell.column("col")[0].as_py()
+            i, j = (z.reshape(-1) for z in np.meshgrid(np.flatnonzero(part == row), np.flatnonzero(part == col), indexing="ij"))
+            wanted = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+            if row == col:
+                wanted &= i < j
+            i, j = i[wanted], j[wanted]
+            alive = plausible(signature[i], signature[j], limits)
+            i, j = i[alive], j[alive]
+            likely = np.argsort(-(signature[i] == signature[j]).sum(axis=1), kind="stable")
+            sets: dict[int, np.ndarray] = {}
+            head: dict[int, int] = {}
+            links = []
+
+            def top(x: int, head: dict[int, int] = head) -> int:
+                while head.get(x, x) != x:
+                    x = head[x]
+                return x
+
+            for x, y in zip(i[likely].tolist(), j[likely].tolist(), strict=True):
+                p, q = top(int(label[x])), top(int(label[y]))
+                if p == q:
+                    continue
+                for k in (x, y):
+                    if k not in sets:
+                        sets[k] = text_set(text[k].as_py() or "", size)
+                u, v = sets[x], sets[y]
+                common = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * common >= threshold * (len(u) + len(v) - common):
+                    head[max(p, q)] = min(p, q)
+                    links.append((int(ids[x]), int(ids[y])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in links], pa.int64()), pa.array([max(x) for x in links], pa.int64())], schema=form)
+
+    return run
+
+
 def verify_sets(size: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links (a, b) among rows (a, part, b, text) sorted by a and part; the hub's text comes first, with a null b."""
     form = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -212,13 +260,18 @@ def verify_sets(size: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]
     return run
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(id, text) of the wanted ids, of which there are at most `most`; a text once for each id."""
+    wanted = ids.distinct()
+    if most <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    return docs.join(wanted, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
     """Those of the written (a, b, size_b) whose full sets reach the threshold. A hub's many partners are dealt to several groups."""
     spark = pairs.sparkSession
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    if 2 * pairs.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, "id", "left_semi").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), 2 * pairs.count())
     parts = F.ceil(F.greatest(F.count("*") / F.lit(GROUP_PAIRS), F.sum("size_b") / F.lit(GROUP_SHINGLES)))
     hubs = pairs.groupBy("a").agg(F.greatest(parts, F.lit(1)).alias("parts"))
     dealt = pairs.join(hubs, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
@@ -229,6 +282,12 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
     return rows.mapInArrow(verify_sets(size, threshold), "a long, b long")
 
 
+def _cells(rows: DataFrame, side: F.Column, *columns: str) -> DataFrame:
+    """Each row in all cells (row, col) with row <= col of which its part, one of `side` by a hash of id, is a side."""
+    dealt = rows.select(*columns, F.pmod(F.xxhash64("id"), side).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), side - 1)).alias("other"))
+    return dealt.select(*columns, "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = THRESHOLD, miss: float = MISS) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id, kept.
 
@@ -260,19 +319,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(verified(survivors, docs, size, threshold), folder, "links-1")
     labels = components(links, folder, "labels-1")
 
-    labelled = members.where("m > 2").join(labels, "id", "left").select("band", "key", "id", "m", F.coalesce("label", "id").alias("label"))
-    labelled = written(labelled, folder, "labelled")
-    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("band", "key")
-    rest = labelled.join(written(mixed, folder, "mixed"), ["band", "key"])
-    side = F.ceil(F.col("m") / CELL).cast("int")
-    rest = rest.select("band", "key", "id", "label", F.pmod(F.xxhash64("id"), side).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), side - 1)).alias("other"))
-    rest = rest.select("band", "key", "id", "label", "part", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"))
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cells = rest.join(of, "id").repartition(shuffles, "band", "key", "row", "col").sortWithinPartitions("band", "key", "row", "col")
+    family = components(survivors, folder, "families").withColumnRenamed("label", "family")
+    kin = written(family.join(labels, "id", "left").join(of, "id").select("family", "id", F.coalesce("label", "id").alias("label"), "n", "signature"), folder, "kin")
+    mixed = kin.groupBy("family").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), F.sum("n").alias("total")).where("low < high")
+    mixed = written(mixed.select("family", F.ceil(F.greatest(F.col("m") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int").alias("side")), folder, "mixed-1")
+    kin = written(kin.join(mixed, "family"), folder, "mixed-kin")
+    kin = kin.join(texts_of(docs, kin.select("id"), kin.count()), "id")
+    cells = _cells(kin, F.col("side"), "family", "id", "label", "n", "signature", "text").repartition(shuffles, "family", "row", "col").sortWithinPartitions("family", "row", "col")
+    joined = written(cells.mapInArrow(verify_cells(size, limits, threshold), "a long, b long"), folder, "links-2")
+    if not joined.isEmpty():
+        links = written(links.union(joined), folder, "links-12")
+        labels = components(links, folder, "labels-2")
+
+    labelled = members.where("m > 2").join(labels, "id", "left").join(family, "id", "left")
+    labelled = written(labelled.select("band", "key", "id", "m", F.coalesce("label", "id").alias("label"), F.coalesce("family", "id").alias("family")), folder, "labelled")
+    mixed = labelled.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("family").alias("first"), F.max("family").alias("last")).where("low < high and first < last").select("band", "key")
+    rest = labelled.join(written(mixed, folder, "mixed-2"), ["band", "key"])
+    cells = _cells(rest, F.ceil(F.col("m") / CELL).cast("int"), "band", "key", "id", "label", "family").join(of, "id")
+    cells = cells.repartition(shuffles, "band", "key", "row", "col").sortWithinPartitions("band", "key", "row", "col")
     survivors = written(cells.mapInArrow(compare_cells(limits, threshold), "a long, b long, size_b long"), folder, "survivors-2")
-    more = written(verified(survivors, docs, size, threshold), folder, "links-2")
+    more = written(verified(survivors, docs, size, threshold), folder, "links-3")
     if not more.isEmpty():
-        labels = components(written(links.union(more), folder, "links"), folder, "labels-2")
+        labels = components(written(links.union(more), folder, "links-123"), folder, "labels-3")
 
     found = written(classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component")), folder, "found")
     rows = sketches.select("id", "n", "digest").join(found, "digest", "left")
