@@ -20,7 +20,7 @@ from tidemark.sources import git
 from tidemark.sources.tree import read_tree, walk
 
 SECRET = "q7" + "Zt" * 6
-FILES = {"README.md": b"hello\r\nworld", "src/app/a.py": f'password = "{SECRET}"\n'.encode(), "src/app/b.bin": b"x", "big.txt": b"y" * 3000, "nul.txt": b"a\0b", "latin.txt": b"\xff\xfe\xfd abc", ".env": b"A=1", "bom.md": b"\xef\xbb\xbfx"}
+FILES = {"README.md": b"hello\r\nworld", "src/app/a.py": f'password = "{SECRET}"\n'.encode(), "src/app/b.bin": b"x", "big.txt": b"y" * 3000, "zero.txt": b"a\0b", "latin.txt": b"\xff\xfe\xfd abc", ".env": b"A=1", "bom.md": b"\xef\xbb\xbfx"}
 
 
 def frame(spark, files):
@@ -39,7 +39,7 @@ def test_scan(spark):
     found = scan(frame(spark, FILES), max_file_size=2000)
     assert {r.path: r.packed for r in found.files.collect()} == {"README.md": "hello\nworld", "src/app/a.py": 'password = "<<REDACTED:GENERIC_SECRET>>"\n', "bom.md": "x"}
     reasons = {r.path: r.reason for r in found.skipped.collect()}
-    assert reasons == {"src/app/b.bin": "binary_extension", "big.txt": "file_size_limit", "nul.txt": "binary_content", "latin.txt": "non_utf8_text", ".env": "always_excluded"}
+    assert reasons == {"src/app/b.bin": "binary_extension", "big.txt": "file_size_limit", "zero.txt": "binary_content", "latin.txt": "non_utf8_text", ".env": "always_excluded"}
     assert found.candidates == len(FILES) == 3 + len(reasons)
 
 
