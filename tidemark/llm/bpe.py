@@ -297,7 +297,7 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[
     form = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keep) + ", decoded string"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             batch["decoded"] = [None if x is None else " ".join([pieces.value[i] for i in x]) for x in batch["ids"]]
             yield batch[[*names[:-1], "decoded"]]
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.shipping import ship_package as ship_package
+
 #: Bytes of text after which the Python side of an operator works off what it has gathered.
 BATCH_CHARS = 1 << 20
 
@@ -47,20 +47,5 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors unless their PYTHONPATH has it already."""
-    root = Path(__file__).resolve().parents[2]
-    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    context = spark.sparkContext
-    if root in paths or getattr(context, "_tidemark_shipped", False):
-        return
-    archive = Path(tempfile.mkdtemp(prefix="tidemark-")) / "tidemark_package.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        for source in sorted((root / "tidemark").rglob("*.py")):
-            out.write(source, source.relative_to(root))
-    context.addPyFile(str(archive))
-    context._tidemark_shipped = True
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -139,7 +139,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, tasks: int = 8, smoothing: fl
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 counts[lang] = counts.get(lang, 0) + gram_counts(text)
                 seen[lang] = seen.get(lang, 0) + 1
-        yield pd.DataFrame({"lang": list(counts), "n": list(seen.values()), "counts": [x.astype("<i8").tobytes() for x in counts.values()]})
+        if counts:
+            yield pd.DataFrame({"lang": list(counts), "n": list(seen.values()), "counts": [x.astype("<i8").tobytes() for x in counts.values()]})
 
     parts = chosen.select("lang", "text").repartition(tasks).mapInPandas(count, "lang string, n long, counts binary").collect()
     langs = tuple(sorted({r["lang"] for r in parts}))
@@ -167,7 +168,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             found, scores = model.value.predict([x if isinstance(x, str) else None for x in batch["text"]])
             yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": found, "score": scores})
 

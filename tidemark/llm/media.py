@@ -145,7 +145,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = pick(docs, doc_id=id_col, text=text_col)
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             images = [to_samples(x if isinstance(x, str) else "") for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in images], "media": [write_png(x) for x, _ in images]})
 
@@ -156,7 +156,7 @@ def media_features(media: DataFrame) -> DataFrame:
     """What the stored images hold: digests of the samples that were read back, and the cosine hash."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             rows = []
             for data in batch["media"]:
                 samples = read_png(bytes(data))

@@ -44,7 +44,7 @@ def span_table(docs: DataFrame, find: Callable[[list[str]], list[tuple[list[Span
     form = ", ".join([f"doc_id {docs.schema['doc_id'].dataType.simpleString()}", *(f"n_{k} long" for k in base), "base_sha256 string", "spans string"] + ["masked string"] * mask)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             texts = [x if isinstance(x, str) else "" for x in batch["text"]]
             found = find(texts)
             out: dict[str, list] = {"doc_id": list(batch["doc_id"])}

@@ -75,7 +75,8 @@ def train(spark: SparkSession, urls: Sequence[tuple[str, int]] | None = None, bu
     examples = rows.join(used.select("j", "bucket"), "bucket").groupBy("n", "label").agg(F.collect_list(F.col("j") + 1).alias("of"))
     examples = examples.agg(F.sort_array(F.collect_list(F.struct("n", "label", "of"))).alias("examples"))
     places = used.agg(F.sort_array(F.collect_list(F.struct("j", "bucket", "of"))).alias("x")).select(F.col("x.bucket").alias("buckets"), F.col("x.of").alias("places"))
-    one = examples.select(F.lit(1).alias("k"), "examples").join(places.select(F.lit(1).alias("k"), "buckets", "places"), "k")
+    both = examples.unionByName(places, allowMissingColumns=True)  # two rows become one, without a join
+    one = both.agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("examples", "buckets", "places")))
 
     def turn(state: Column, t: Column) -> Column:
         score = lambda of: F.aggregate(of, F.lit(0.0), lambda a, j: a + F.element_at(state["w"], j))

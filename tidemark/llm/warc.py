@@ -131,7 +131,7 @@ def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
-        for batch in batches:
+        for batch in filter(len, batches):
             for page_id, url, payload, original in zip(*(batch[c] for c in ("page_id", "url", "payload", "original")), strict=True):
                 payload = bytes(payload)
                 held.append(page_record(int(page_id), url, payload, digest(payload), None if pd.isna(original) else int(original)))
@@ -155,7 +155,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in filter(len, batches):
             rows = []
             for content in batch["content"]:
                 view = memoryview(content)
@@ -166,7 +166,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     refers = record.header("WARC-Refers-To-Page")
                     rows.append((int(record.header("WARC-Page")), size, hex_digest(told), kind, None if refers is None else int(refers), record.header("WARC-Target-URI")))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in _FORM.split(", ")])
-            yield out.astype({"refers_to": "Int64"})
+            if rows:
+                yield out.astype({"refers_to": "Int64"})
 
     return archives.mapInPandas(read, _FORM)
 
