@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import dataclasses
 import functools
+import re
 import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import vocabulary as V
 from tidemark.errors import ScanError
 from tidemark.functions import content as C
 from tidemark.functions import paths as P
-from tidemark.functions.redaction import redact, redacted
+from tidemark.functions.redaction import POSSIBLE, redact, redacted
 from tidemark.functions.rules import Rule, denied
 from tidemark.operators.select import greedy_select
 
@@ -31,13 +34,22 @@ def sensitive_name(name: str) -> bool:
     return bare in V.EXCLUDED_NAMES or bare.startswith((".env", *V.KEY_PREFIXES)) or bare.endswith((".tfstate", ".ppk", *V.EXCLUDED_SUFFIXES)) or ".tfstate." in bare or ".ppk." in bare
 
 
+@F.pandas_udf(T.StructType([T.StructField("safe_path", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))]))
+def _path_facts(paths: pd.Series) -> pd.DataFrame:
+    """The portable form of each normalised path, if it has one, and what credentials it holds."""
+    possible = re.compile(POSSIBLE)
+    safe = [None if p is None else P.portable_path(p) for p in paths]
+    return pd.DataFrame({"safe_path": safe, "counts": [redact(p)[1] if p is not None and possible.search(p) else {} for p in safe]}, dtype=object)
+
+
 def path_stage(files: DataFrame, rules: Sequence[Rule] = (), output: str | None = None) -> DataFrame:
-    """files (path, ...) with safe_path, shown_path, path_reason and path_counts; the first reason that holds counts."""
-    # a column of its own for each step: expressions that are used several times aren't repeated in the plan
+    """files (path, ...) with safe_path, shown_path, path_reason and path_counts; the first reason that holds counts.
+
+    One call of Python finds both what Unicode tables and what the cascade say of a path; all else is native.
+    """
     files = files.withColumn("_clean", F.when(~F.col("path").contains("\\"), P.normalized(F.col("path"))))
-    files = files.withColumn("safe_path", P.safe_path(F.col("_clean")))
-    found = redacted(F.col("safe_path"))
-    files = files.withColumn("_found", found).withColumn("path_counts", F.col("_found.counts")).drop("_found")
+    files = files.withColumn("_facts", _path_facts(F.col("_clean")))
+    files = files.withColumn("safe_path", F.col("_facts.safe_path")).withColumn("path_counts", F.col("_facts.counts")).drop("_facts")
     safe = F.col("safe_path")
     reason = (
         F.when(safe.isNull(), "unsafe_path")
