@@ -29,7 +29,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+    return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,11 +76,11 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
-        WITH p AS (SELECT page_id, url, sha1(encode(coalesce(html, ''))) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+        WITH p AS (SELECT page_id, sha1(encode(coalesce(html, ''))) AS d, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
         o AS (SELECT d, max(page_id) AS original FROM p WHERE n >= 1000 GROUP BY d)
         SELECT p.page_id, p.n AS payload_bytes, p.d AS payload_digest,
             CASE WHEN p.page_id < o.original THEN 'revisit' ELSE 'response' END AS record_type,
-            CASE WHEN p.page_id < o.original THEN o.original END AS refers_to, p.url
+            CASE WHEN p.page_id < o.original THEN o.original END AS refers_to
         FROM p LEFT JOIN o ON p.d = o.d AND p.n >= 1000
     """,
     "op10_minhash_dedup": """
