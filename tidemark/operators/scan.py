@@ -97,6 +97,12 @@ def content_stage(files: DataFrame, max_file_size: int = V.DEFAULT_FILE_BYTES) -
     )
 
 
+def chosen_files(files: DataFrame, decided: DataFrame, max_files: int) -> DataFrame:
+    """The files (safe_path, ...) that were selected: at most max_files, so their paths are broadcast if that number is small."""
+    paths = decided.where("reason is null").select(F.col("path").alias("safe_path"))
+    return files.join(F.broadcast(paths) if max_files <= V.MOST_FILES else paths, "safe_path", "left_semi")
+
+
 @dataclasses.dataclass
 class Scan:
     """files: selected ones (path, source_size, packed, packed_size, sha256, redactions); skipped: (path, reason)."""
@@ -120,13 +126,15 @@ def scan(files: DataFrame, max_file_size: int = V.DEFAULT_FILE_BYTES, max_total_
             raise ScanError("there are too many candidates or rules")
     if not collisions(staged.where("path_reason is null or path_reason not in ('unsafe_path', 'secret_in_path')")).isEmpty():
         raise ScanError("two paths are equal but for case or composition")
-    kept = content_stage(staged.where("path_reason is null"), max_file_size)
+    safe = staged.where("path_reason is null")
+    kept = content_stage(safe, max_file_size)
     kept = kept.withColumn("priority", P.priority(F.col("safe_path"))).withColumn("fold", P.fold_key(F.col("safe_path")))
     narrow = kept.select("priority", "fold", F.col("safe_path").alias("path"), F.col("size").alias("planned_size"), "read_reason", "source_size", "packed_size")
-    decided = greedy_select(narrow, max_files, max_total_size)
-    chosen = kept.join(decided.where("reason is null").select(F.col("path").alias("safe_path")), "safe_path")
+    decided = greedy_select(narrow, max_files, max_total_size).persist()  # narrow, and wanted several times
+    # contents are joined to the decisions before they are redacted again, so that is done for selected files alone
+    chosen = content_stage(chosen_files(safe, decided, max_files), max_file_size)
     skipped = staged.where("path_reason is not null").select(F.col("shown_path").alias("path"), F.col("path_reason").alias("reason")).unionByName(decided.where("reason is not null"))
-    counts = staged.where("path_reason = 'secret_in_path'").select(F.explode("path_counts").alias("kind", "n")).groupBy("kind").agg(F.sum("n").alias("n"))
+    counts = staged.where("path_reason = 'secret_in_path'").select(F.explode_outer("path_counts").alias("kind", "n")).where("kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
     return Scan(chosen.select(F.col("safe_path").alias("path"), "source_size", "packed", "packed_size", "sha256", "redactions"), skipped, files.count(), {r["kind"]: r["n"] for r in counts.orderBy("kind").collect()})
 
 

@@ -18,7 +18,7 @@ from tidemark.functions import redaction as R
 from tidemark.functions.rules import Rule, compiled, denied
 from tidemark.functions.sizes import formatted_size, parsed_size
 from tidemark.operators import aggregates
-from tidemark.operators.scan import collisions, content_stage, path_stage, sanitized_column
+from tidemark.operators.scan import chosen_files, collisions, content_stage, path_stage, sanitized_column
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, verify
 from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_files, table
@@ -320,12 +320,12 @@ def skip_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(staged files, decisions) of a scan of the documents with small budgets."""
-    docs = document_files(spark, sf_dir).select("path", F.encode("text", "UTF-8").alias("content")).withColumn("size", F.octet_length("content").cast("bigint"))
-    kept = content_stage(docs.withColumn("safe_path", F.col("path")), SELECT_FILE)
+    """(files, decisions) of a scan of the documents with small budgets."""
+    docs = document_files(spark, sf_dir).select(F.col("path").alias("safe_path"), F.encode("text", "UTF-8").alias("content")).withColumn("size", F.octet_length("content").cast("bigint"))
+    kept = content_stage(docs, SELECT_FILE).withColumn("path", F.col("safe_path"))
     kept = kept.withColumn("priority", P.priority(F.col("path"))).withColumn("fold", P.fold_key(F.col("path")))
     narrow = kept.select("priority", "fold", "path", F.col("size").alias("planned_size"), "read_reason", "source_size", "packed_size")
-    return kept, greedy_select(narrow, SELECT_FILES, SELECT_TOTAL, None)
+    return docs, greedy_select(narrow, SELECT_FILES, SELECT_TOTAL, None)
 
 
 SELECT_FILE, SELECT_TOTAL, SELECT_FILES = 6_000, 400_000, 300
@@ -347,8 +347,8 @@ _RECORDS = f"""{_SELECT}, records AS (SELECT 'source' AS kind, 'files/' || f.pat
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, decided = _selected(spark, sf_dir)
-    chosen = kept.drop("path").join(decided.where("reason is null").select(F.col("path").alias("safe_path")), "safe_path").withColumnRenamed("safe_path", "path")
+    docs, decided = _selected(spark, sf_dir)
+    chosen = content_stage(chosen_files(docs, decided, SELECT_FILES), SELECT_FILE).withColumnRenamed("safe_path", "path")
     return manifest.records(chosen.select("path", "source_size", "packed", "sha256", "redactions"))
 
 
@@ -425,7 +425,7 @@ def secrets_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     more = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("\ntoken = \""), F.substring(F.sha2("text", 256), 1, 20), F.lit("\""))).otherwise(F.lit(""))
     found = docs.select("source", R.redacted(F.concat(F.coalesce("text", F.lit("")), more))["counts"].alias("counts"))
-    return found.select("source", F.explode("counts").alias("kind", "n")).groupBy("source", "kind").agg(F.sum("n").cast("bigint").alias("n"))
+    return found.select("source", F.explode_outer("counts").alias("kind", "n")).where("kind is not null").groupBy("source", "kind").agg(F.sum("n").cast("bigint").alias("n"))
 
 
 assert all(compiled(r.pattern) for r in RULES)
