@@ -72,7 +72,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir).drop("ids")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op4_secret_scan, op5_decontaminate, op6_sharding, op7_language_id, op8_pii, op9_bpe, op10_minhash_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filters, op2_media_columns, op3_warc, op4_secret_scan, op5_decontaminate, op6_sharding, op7_language_id, op8_pii, op9_bpe, op10_minhash_dedup, pipeline)}
 
 ORACLE_SQL: dict[str, str] = {
     "op3_warc": """
