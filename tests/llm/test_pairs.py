@@ -1,6 +1,7 @@
 """Near-duplicates, decontamination and sharding against brute force."""
 
 import collections
+import itertools
 import random
 import re
 import zlib
@@ -121,6 +122,38 @@ def test_substitution_recall(spark):
     assert len({r.doc_id for r in rows}) >= 95 and all(r.doc_id == r.item_id for r in rows)
 
 
+def test_every_pattern_of_substitutions(spark):
+    """All ways to substitute tokens, against a search of all runs for one of 13 (or the whole item) with 80 % equal ones."""
+
+    def counts(n, out):
+        least = min(13, n)
+        spoilt = np.concatenate([[0], np.cumsum([k in out for k in range(n)])])
+        return any(5 * (spoilt[j] - spoilt[i]) <= j - i for i in range(n) for j in range(i + least, n + 1))
+
+    items = [(n, " ".join(f"n{n}w{k}" for k in range(n))) for n in range(1, 21)]
+    docs, want, spoilt = [], set(), {}
+    for n, text in items:
+        for out in (x for s in range(4) for x in itertools.combinations(range(n), s)):
+            doc_id = len(docs)
+            docs.append((doc_id, "a b " + " ".join("zz" if k in out else w for k, w in enumerate(text.split())) + " c"))
+            if counts(n, out):
+                want.add((doc_id, n))
+            spoilt[doc_id] = out
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == want
+    for r in rows:
+        inside = sum(r.first_token <= k + 2 < r.end_token for k in spoilt[r.doc_id])
+        assert r.equal_tokens == r.end_token - r.first_token - inside and r.equal_tokens >= 0.8 * (r.end_token - r.first_token) and r.end_token - r.first_token >= min(13, r.item_id)
+    assert len(rows) == len(want)
+
+
+def test_masks_hit_all_runs():
+    """Every minimal run of at least 13 tokens with 80 % equal ones has a seed."""
+    for n, s in ((13, 2), (15, 3), (20, 4), (25, 5)):
+        fits = [sum((c == "1") << (at + k) for k, c in enumerate(mask)) for mask in decontaminate.MASKS for at in range(n - len(mask) + 1)]
+        assert all(any(not spoilt & f for f in fits) for out in itertools.combinations(range(n), s) for spoilt in [sum(1 << k for k in out)])
+
+
 def test_decontamination_by_brute_force(spark, sf_dir):
     """Every document with a whole item in it is found, and nothing without a long common run."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

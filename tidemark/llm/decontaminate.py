@@ -2,13 +2,15 @@
 
 A seed is the hash of the tokens that a fixed mask selects; masks ignore some positions, so a substituted token spoils only the
 seeds that select it. Seeds of the test items and of the documents are joined; around each hit the item is laid along
-the document and the best run of aligned tokens decides.
+the document, and it counts if any run of aligned tokens is long enough and has enough equal ones.
 """
 
 from __future__ import annotations
 
 import dataclasses
+import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +19,16 @@ from pyspark.sql import DataFrame
 from tidemark.llm.common import pick
 from tidemark.llm.textkernels import PUNCTUATION, mix, word_hashes
 
-#: 1 selects a token, 0 ignores it.
-MASKS = ("111111", "1110010111", "11010110011", "110110100011", "1011000110101")
+#: 1 selects a token, 0 ignores it. Together they hit every run of 13, 15, 20 and 25 tokens with 2, 3, 4 and 5 substitutions,
+#: and so every run of at least 13 with 80 % equal ones: a longer one holds one of these, or splits into two of which one has 80 %.
+MASKS = ("111111", "1110010111", "11010110011", "110110100011", "1011000110101", "1110111")
 #: Tokens of a block of test items, which is broadcast; documents are read once for each block.
 BLOCK_TOKENS = 250_000
 #: Least aligned tokens (all, if the item has fewer), and the least share of equal ones among them.
 LEAST_OVERLAP, LEAST_EQUAL = 13, 0.8
 _GATHER = 1 << 19
+#: Aligned tokens that are compared at a time.
+_CELLS = 1 << 18
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -37,6 +42,13 @@ def mask_seeds(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total)
 
 
+def short_masks(n: int, share: float = LEAST_EQUAL) -> list[str]:
+    """Masks for items of n tokens, all of which must be aligned: some mask ignores whatever tokens may be substituted."""
+    spare = n - int(np.ceil(n * Fraction(share).limit_denominator(1000)))
+    groups = n if n <= 7 else spare + 3
+    return ["".join("0" if k * groups // n in out else "1" for k in range(n)) for out in itertools.combinations(range(groups), spare)]
+
+
 def tokens_of(text: str) -> np.ndarray:
     return word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), PUNCTUATION)[0]
 
@@ -54,7 +66,7 @@ class TestBlock:
         seeds, items, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for number, mask in enumerate(self.masks):
             for item, tokens in enumerate(self.tokens):
-                if number < len(MASKS) or len(tokens) == len(mask):  # a mask made for short items is for those alone
+                if number < len(MASKS) or len(tokens) == len(mask):  # a mask made for short items is for those of its length
                     found = mask_seeds(tokens, mask, number)
                     seeds.append(found)
                     items.append(np.full(len(found), item))
@@ -65,29 +77,60 @@ class TestBlock:
         self.bits = min(24, max(16, int(64 * len(flat)).bit_length()))
         self.near = np.zeros(1 << self.bits, bool)
         self.near[self.seeds >> np.uint64(64 - self.bits)] = True
+        self.sizes = np.array([len(x) for x in self.tokens], np.int64)
+        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(self.tokens)
+
+    def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, document, place in the tokens that the item's first token would have), once each, of the seeds in common.
 
-    def hits(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, place in the tokens that the item's first token would have) of each seed in common."""
-        items, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        The tokens are those of some documents in turn, which the bounds part; a seed lies within one of them.
+        """
+        items, docs, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for number, mask in enumerate(self.masks):
             seeds = mask_seeds(tokens, mask, number)
             at = np.flatnonzero(self.near[seeds >> np.uint64(64 - self.bits)])
+            doc = np.searchsorted(bounds, at, "right") - 1
+            inside = at + len(mask) <= bounds[doc + 1]
+            at, doc = at[inside], doc[inside]
             low, high = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
             n = high - low
             if n.any():
                 of = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
                 items.append(self.items[of])
+                docs.append(np.repeat(doc, n))
                 diagonals.append(np.repeat(at, n) - self.places[of])
-        return np.concatenate(items), np.concatenate(diagonals)
+        found = np.stack([np.concatenate(x) for x in (items, docs, diagonals)])
+        found = found[:, np.lexsort(found)]
+        first = np.ones(found.shape[1], bool)
+        first[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
+        return tuple(found[:, first])
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """(first, past the last, equal ones) of the run with the largest score: 1 for an equal token, -3 for another."""
-    sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    lowest = np.minimum.accumulate(sums)
-    last = int((sums - lowest).argmax())
-    first = int(np.flatnonzero(sums[: last + 1] == lowest[last])[-1])
-    return first, last, int(equal[first:last].sum())
+def scores(share: float) -> tuple[int, int]:
+    """What an equal token adds and another takes: a run has the share if its sum isn't negative."""
+    exact = Fraction(share).limit_denominator(1000)
+    return exact.denominator - exact.numerator, exact.numerator
+
+
+def best_run(equal: np.ndarray, least: int, share: float = LEAST_EQUAL) -> tuple[int, int, int] | None:
+    """(first, past the last, equal ones) of the run of at least so many tokens and that share of equal ones that has most equal ones.
+
+    Of several it is the shortest, of those the first.
+    """
+    gain, loss = scores(share)
+    sums = np.concatenate([[0], np.cumsum(np.where(equal, gain, -loss))])
+    equals = np.concatenate([[0], np.cumsum(equal)])
+    first = np.arange(len(sums))
+    last = np.searchsorted(-np.maximum.accumulate(sums[::-1])[::-1], -sums, "right") - 1  # the last place to which a run from here has the share
+    fine = last - first >= max(1, least)
+    if not fine.any():
+        return None
+    first, last = first[fine], last[fine]
+    n = equals[last] - equals[first]
+    first, last = first[n == n.max()], last[n == n.max()]
+    last = np.maximum(first + least, np.searchsorted(equals, equals[last], "left"))
+    k = int((last - first).argmin())
+    return int(first[k]), int(last[k]), int(n.max())
 
 
 def overlap(tokens: np.ndarray, item: np.ndarray, diagonal: int, least: int = LEAST_OVERLAP, share: float = LEAST_EQUAL) -> tuple[int, int, int] | None:
@@ -95,20 +138,41 @@ def overlap(tokens: np.ndarray, item: np.ndarray, diagonal: int, least: int = LE
     low, high = max(0, -diagonal), min(len(item), len(tokens) - diagonal)
     if high - low < min(least, len(item)):
         return None
-    first, last, equal = best_run(tokens[low + diagonal : high + diagonal] == item[low:high])
-    if last - first < min(least, len(item)) or equal < share * (last - first):
-        return None
-    return first + low + diagonal, last + low + diagonal, equal
-
-
-def test_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> Iterator[TestBlock]:
+    run = best_run(tokens[low + diagonal : high + diagonal] == item[low:high], min(least, len(item)), share)
+    return run and (run[0] + low + diagonal, run[1] + low + diagonal, run[2])
+
+
+def overlapping(words: np.ndarray, flat: np.ndarray, begin: np.ndarray, at: np.ndarray, size: np.ndarray, need: np.ndarray, share: float) -> np.ndarray:
+    """Which laid items overlap enough: `size` tokens, from `begin` of the items' and `at` of the documents' tokens, with a run of `need` or more."""
+    gain, loss = scores(share)
+    out = np.zeros(len(size), bool)
+    order = np.flatnonzero(size >= need)
+    order = order[np.argsort(size[order], kind="stable")]
+    start = 0
+    while start < len(order):
+        # sizes ascend, so the last of a chunk is its widest
+        stop = min(len(order), start + max(1, _CELLS // int(size[order[start]])))
+        stop = start + max(1, min(stop - start, _CELLS // int(size[order[stop - 1]])))
+        rows = order[start:stop]
+        k = np.arange(int(size[rows].max()))
+        inside = k < size[rows, None]
+        equal = words[np.minimum(at[rows, None] + k, len(words) - 1)] == flat[np.minimum(begin[rows, None] + k, len(flat) - 1)]
+        sums = np.zeros((len(rows), len(k) + 1), np.int64)
+        np.cumsum(np.where(equal, gain, -loss), axis=1, out=sums[:, 1:])
+        before = np.arange(len(k) + 1) - need[rows, None]
+        lowest = np.take_along_axis(np.minimum.accumulate(sums, axis=1), np.maximum(before, 0), axis=1)
+        out[rows] = ((before[:, 1:] >= 0) & inside & (sums[:, 1:] >= lowest[:, 1:])).any(axis=1)
+        start = stop
+    return out
+
+
+def test_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS, least: int = LEAST_OVERLAP, share: float = LEAST_EQUAL) -> Iterator[TestBlock]:
     """Items (item_id, text) in blocks, read one partition at a time; null and empty texts are left out."""
     ids, tokens, held = [], [], 0
 
     def block() -> TestBlock:
-        shortest = min(map(len, MASKS))
-        short = sorted({len(x) for x in tokens if len(x) < shortest})
-        return TestBlock(ids, tokens, [*MASKS, *("1" * n for n in short)])
+        short = sorted({len(x) for x in tokens if len(x) < LEAST_OVERLAP})
+        return TestBlock(ids, tokens, [*MASKS, *(mask for n in short for mask in short_masks(n, share))])
 
     for item_id, text in benchmark.toLocalIterator():
         found = tokens_of(text or "")
@@ -135,18 +199,17 @@ def _matcher(block, least: int, share: float):  # noqa: ANN001, ANN202
         def found(ids: list, texts: list[bytes]) -> pa.RecordBatch:
             words, start, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8), PUNCTUATION)
             bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts)]))
-            items, diagonals = test.hits(words)
-            # the document in which an item's middle would lie may not be the one with the hit: try all that the item reaches
+            items, docs, diagonals = test.hits(words, bounds)
+            # the part of each item that lies within the document
+            low = np.maximum(0, bounds[docs] - diagonals)
+            size = np.minimum(test.sizes[items], bounds[docs + 1] - diagonals) - low
+            fine = overlapping(words, test.flat, test.begins[items] + low, diagonals + low, size, np.minimum(test.sizes[items], least), share)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for item, diagonal in np.unique(np.stack([items, diagonals], axis=1), axis=0).tolist():
-                size = len(test.tokens[item])
-                low = max(0, int(np.searchsorted(bounds, diagonal, "right")) - 1)
-                high = int(np.searchsorted(bounds, diagonal + size, "left"))
-                for doc in range(low, min(high, len(ids))):
-                    a, b = int(bounds[doc]), int(bounds[doc + 1])
-                    run = overlap(words[a:b], test.tokens[item], diagonal - a, least, share) if b > a else None
-                    if run and (run[2], -run[0]) > (lambda x: (x[2], -x[0]) if x else (0, 0))(best.get((doc, item))):
-                        best[doc, item] = run
+            for item, doc, diagonal in zip(items[fine].tolist(), docs[fine].tolist(), diagonals[fine].tolist(), strict=True):
+                a, b = int(bounds[doc]), int(bounds[doc + 1])
+                run = overlap(words[a:b], test.tokens[item], diagonal - a, least, share)
+                if run and (run[2], -run[0]) > (lambda x: (x[2], -x[0]) if x else (0, 0))(best.get((doc, item))):
+                    best[doc, item] = run
             rows = [(ids[doc], test.ids[item], *run) for (doc, item), run in sorted(best.items())]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], schema=form)
 
@@ -171,13 +234,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Tokens are runs of ASCII letters, digits and other scripts' characters, A-Z lower-cased. A pair counts if some run of
     at least 13 aligned tokens (the whole item, if shorter) has at least 80 % equal ones; the run with
-    most equal tokens is given, the first of ties. Null and empty texts overlap with nothing; a null doc_id or item_id is carried along;
+    most equal tokens is given, of several the shortest, then the first. Every such pair is found (masks are made for these limits). Null and empty texts overlap with nothing; a null doc_id or item_id is carried along;
     repeated rows give repeated rows; with an empty table there are no rows. Test items are broadcast in blocks of a bounded size.
     """
     docs = pick(docs, id=id_col, text=text_col)
     docs = docs.select(docs["id"].cast("bigint").alias("id"), "text")
     out = None
-    for block in test_blocks(pick(benchmark, item_id=item_col, text=item_text_col), block_tokens):
+    for block in test_blocks(pick(benchmark, item_id=item_col, text=item_text_col), block_tokens, least, share):
         part = docs.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(block), least, share), _FORM)
         out = part if out is None else out.union(part)
     return docs.sparkSession.createDataFrame([], _FORM) if out is None else out
