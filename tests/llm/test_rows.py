@@ -136,6 +136,22 @@ def test_novelty():
     assert len(own) == 1 and more == []
 
 
+def test_novelty_needs_no_digits():
+    rnd = random.Random(6)
+    for alphabet in (string.ascii_letters, string.ascii_lowercase, string.ascii_letters + string.digits):
+        for size in (12, 16, 20, 24, 32, 48):
+            values = ["".join(rnd.choice(alphabet) for _ in range(size)) for _ in range(100)]
+            found = [secrets.find_secrets([f"sent with bearer {v} in a header"])[0][1] == [("novel", 17, 17 + size)] for v in values]
+            assert sum(found) >= 99, (alphabet, size)
+    for digits in range(3):
+        value = list("".join(rnd.choice(string.ascii_letters) for _ in range(20)))
+        value[3 : 3 + digits] = "7" * digits
+        assert len(secrets.find_secrets(["bearer " + "".join(value)])[0][1]) == 1
+    names = "getUserNameFromRequest get_user_name_by_id authenticationTokenProvider AbstractSessionFactoryBuilder MAX_RETRY_COUNT_LIMIT certificate_authority transactionManagerBean updateTableRowCount set_client_secret_key authorization-code-grant handleLoginCallback clientSecretProvider password_reset_request responsibilities internationalization application/javascript ----------------------"
+    for name in names.split():
+        assert secrets.find_secrets([f"the session key {name} is used here"])[0][1] == [], name
+
+
 def brute_personal(text):
     luhn = lambda s: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(s))) % 10 == 0
     n = lambda m: re.sub("[^0-9]", "", m[0])

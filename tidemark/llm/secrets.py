@@ -15,27 +15,46 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # leftmost runs of 32 on: the same as all runs less the short ones
 #: Candidates for novelty, and what must stand within CONTEXT characters before one.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 _SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|auth|cred|bearer|private|session|signature|pwd", re.IGNORECASE | re.ASCII)
 CONTEXT, AROUND = 48, 256
 #: Least bytes that a candidate adds for each of its characters.
 LEAST_NOVELTY = 0.65
+LEVEL = 13
+
+
+#: Words that identifiers are made of, and longer ones of prose about such matters.
+_VERBS = "get set add remove create delete update find load save read write parse format build make check validate init start stop open close send receive handle process encode decode encrypt decrypt sign verify is has to from with by on max min new old default total current last next".split()
+_NOUNS = "user name id key value token secret password client server session request response header body config option path file line text data list map item index count size type error message code url host port query table column row field object class method result status version date time auth access refresh api app service manager provider factory handler builder controller event state limit retry timeout cache store group role account email login public private certificate credential bean table content contents abstract base context property source target resource node tree string number interface policy address network bucket region cluster endpoint grant scope callback".split()
+_PROSE = """about above according across activity additional administration agreement although analysis announcement another application applications appropriate approximately architecture archives associated association attention authentication authorities authority authorization available background beginning
+ between business certificate certification characteristics children collection combination commercial committee communication communications community company comparison competition components comprehensive concentration conditions configuration configurations connection connections consequences consideration considerable constitution
+ construction contemporary contributions conventional conversation corporation corresponding credentials cryptographic cryptography customers department departments description determination development developments different difficulties direction disappointment distribution documentation documents education effectiveness encryption engineering
+ entertainment environment environmental environments equipment established establishment examination exceptional expectations experience experimental explanation extraordinary foundation fundamental generation government identification illustration implementation implementations implications important improvement independence independent individual
+ industrial information infrastructure initialization installation institution institutional instructions integration intelligence interesting international internationalization interpretation introduction investigated investigation javascript knowledge laboratory legislation maintenance management manufacturers manufacturing mathematical measurement
+ measurements mechanism multinational multiplication municipal necessarily negotiations neighbourhood normalization notifications nevertheless notwithstanding observations occasionally operations opportunities opportunity organization organizational organizations participation particularly passphrase passphrases performance permission permissions personality
+ perspective philosophical photography population possibilities possibility potential preparation presentation president previously principal procedures professional proportion protection psychological publication qualifications questions recognition recommendation recommendations reconciliation registration relationship relationships
+ representation representative representatives requirements responsibilities responsibility restructuring revolutionary scientific serialization significance significantly signatures situation sometimes somewhere specification specifications specifically standardization straightforward strengthening subsequently substantial successfully
+ synchronization technological technologies temperature themselves throughout transaction transactional transactions transformation transformations transportation understanding undocumented unfortunately universities university unprecedented verification vulnerabilities vulnerability""".split()
+_PLACES = "src/main/java/com/example/ src/test/java/org/ node_modules/ application/javascript application/json application/x-www-form-urlencoded text/html; multipart/form-data https://www. /usr/local/share/ /usr/local/bin/ /home/user/ /var/lib/ /etc/ssl/certs/ /etc/ssl/private/".split()
 
 
 @functools.lru_cache(maxsize=1)
 def identifier_dictionary() -> bytes:
-    """Text that primes the compressor: identifiers and lines as code and configuration files have them, made by rule."""
-    verbs = "get set add remove create delete update find load save read write parse format build make check validate init start stop open close send receive handle process encode decode encrypt decrypt sign verify".split()
-    nouns = "user name id key value token secret password client server session request response header body config option path file line text data list map item index count size type error message code url host port query table column row field object class method result status version date time".split()
-    words = [f"{v}_{n}" for v in verbs for n in nouns[:12]] + [v + n.capitalize() for v in verbs for n in nouns[12:24]] + [f"{a}_{b}" for a in nouns for b in ("id", "name", "key", "type")]
+    """Text that primes the compressor: identifiers, prose and lines as code and configuration files have them, made by rule."""
+    words = list(dict.fromkeys(_VERBS + _NOUNS))
+    pairs = [(v, n) for v in words for n in _NOUNS]
+    joined = [f"_{v}_{n}_" for v, n in pairs] + [v.capitalize() + n.capitalize() for v, n in pairs] + [f"_{v}_{n}_".upper() for v, n in pairs]
+    joined += [v + n.capitalize() for v in _VERBS for n in _NOUNS] + [f"-{v}-{n}-" for v, n in pairs]
+    prose = [x for w in _PROSE for x in (w, w.capitalize())]
     lines = ["import os\nimport sys\nfrom typing import Any\n", "def main(args):\n    return None\n", "public static final String ", "const config = require('config');\n", "authorization: Bearer ", "api_key = os.environ.get('API_KEY')\n", "private_key_path: /etc/ssl/private/", "session_id=", "signature=", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/="]
-    return "\n".join([" ".join(words), *lines]).encode()
+    return "\n".join([" ".join(joined), " ".join(prose), *_PLACES, *lines]).encode()
 
 
 @functools.lru_cache(maxsize=1)
 def _compressor() -> zstandard.ZstdCompressor:
     primed = zstandard.ZstdCompressionDict(identifier_dictionary(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=9, dict_data=primed, write_content_size=False, write_checksum=False)
+    primed.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=primed, write_content_size=False, write_checksum=False)
 
 
 def novelty(before: str, candidate: str, after: str) -> float:
@@ -54,12 +73,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def novel_spans(text: str, base: list[Span], least: float = LEAST_NOVELTY) -> list[Span]:
-    """Candidates apart from base spans, with digits and letters, after a sensitive word, that compress badly."""
+    """Candidates of 12 characters or more apart from base spans, after a sensitive word, that compress badly."""
     out = []
     for m in _CANDIDATE.finditer(text):
         word = m[0]
-        if not any(c.isdigit() for c in word) or word.isdigit() or sum(c.isdigit() for c in word) < 3:
-            continue
         a, b = m.span()
         if any(x < b and a < y for _, x, y in base) or not _SENSITIVE.search(text, max(0, a - CONTEXT), a):
             continue
