@@ -1,7 +1,8 @@
 """The queries over the driver's tables, and the same in SQL for DuckDB.
 
 Files are views of the tables (sources.tables). Natural secrets are rare there, so most detectors run on values made from hashes of the
-texts: a third of the documents has a real-looking one, a third a placeholder, the rest none.
+texts: a third of the documents has a real-looking one, a third a placeholder, the rest none. Each is registered twice: on the value in a short
+note, which SQL can follow, and as redact_..._whole on the value at the end of the document's whole text, which it can't.
 """
 
 from __future__ import annotations
@@ -202,9 +203,11 @@ def _fake(length: int, upper: bool = False) -> Column:
     return F.upper(value) if upper else value
 
 
-def _with_value(spark: SparkSession, sf_dir: str, real: Column, placeholder: Column) -> DataFrame:
+def _with_value(spark: SparkSession, sf_dir: str, real: Column, placeholder: Column, whole: bool = False) -> DataFrame:
+    """A short note with a value for each document, after the whole of its text if wanted."""
     kind = F.pmod("doc_id", F.lit(3))
-    return document_files(spark, sf_dir).select("doc_id", F.concat(F.lit("note "), F.when(kind == 0, real).when(kind == 1, placeholder).otherwise(F.lit("none")), F.lit(" end")).alias("text"))
+    before = F.concat("text", F.lit(" note ")) if whole else F.lit("note ")
+    return document_files(spark, sf_dir).select("doc_id", F.concat(before, F.when(kind == 0, real).when(kind == 1, placeholder).otherwise(F.lit("none")), F.lit(" end")).alias("text"))
 
 
 _HEX = "sha256(text)"
@@ -220,7 +223,12 @@ def _register_whole(name: str, kind: str, prefix: str, length: int, upper: bool,
         docs = _with_value(spark, sf_dir, F.concat(F.lit(prefix), _fake(length, upper), F.lit(tail)), F.lit(prefix + "x"))
         return docs.select("doc_id", R.native_mask(F.col("text"), kind).alias("text"), R.native_count(F.col("text"), kind).alias("n"))
 
-    run.__name__ = f"redact_{name}"
+    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _with_value(spark, sf_dir, F.concat(F.lit(prefix), _fake(length, upper), F.lit(tail)), F.lit(prefix + "x"), True)
+        return docs.select("doc_id", F.sha2(R.native_mask(F.col("text"), kind), 256).alias("sha256"), R.native_count(F.col("text"), kind).alias("n"))
+
+    run.__name__, run_whole.__name__ = f"redact_{name}", f"redact_{name}_whole"
+    query()(run_whole)
     value = f"left({_HEX}, {length})"
     masked = f"'note {R.mask(kind)} end'"
     query(f"SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN {masked} WHEN 1 THEN 'note {prefix}x end' ELSE 'note none end' END AS text, CASE WHEN doc_id % 3 = 0 AND len('{prefix}' || {value}) > 4 THEN 1 ELSE 0 END AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)".replace("1 ELSE 0 END AS n", "1::BIGINT ELSE 0::BIGINT END AS n"))(run)
@@ -238,7 +246,13 @@ def _register_cascade(name: str, real: Callable[[], Column], real_sql: str, expe
         found = docs.select("doc_id", R.redacted(F.col("text")).alias("r"))
         return found.select("doc_id", "r.text", F.coalesce(F.try_element_at("r.counts", F.lit(kind)), F.lit(0).cast("bigint")).alias("n"))
 
-    run.__name__ = f"redact_{name}"
+    def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = _with_value(spark, sf_dir, real(), F.lit(placeholder), True)
+        found = docs.select("doc_id", R.redacted(F.col("text")).alias("r"))
+        return found.select("doc_id", F.sha2("r.text", 256).alias("sha256"), F.coalesce(F.try_element_at("r.counts", F.lit(kind)), F.lit(0).cast("bigint")).alias("n"))
+
+    run.__name__, run_whole.__name__ = f"redact_{name}", f"redact_{name}_whole"
+    query()(run_whole)
     quoted = placeholder.replace("'", "''")
     query(f"SELECT doc_id, 'note ' || CASE doc_id % 3 WHEN 0 THEN {expected_sql} WHEN 1 THEN '{quoted}' ELSE 'none' END || ' end' AS text, CASE WHEN doc_id % 3 = 0 THEN 1::BIGINT ELSE 0::BIGINT END AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)")(run)
 
