@@ -238,6 +238,20 @@ def test_language(spark, sf_dir):
     assert language.identify(empty(spark)).collect() == []
 
 
+def test_few_labels_are_all_learned_from(spark):
+    """Of 6000 rows 40 are labelled, and of those few are French; none of them may be left out for the unlabelled or the English ones."""
+    rows = [(i, "zz yy", None) for i in range(5960)] + [(6000 + i, f"the water and house w{i}", "en") for i in range(34)] + [(7000 + i, "maison rue enfants", "fr") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    usable = {r["lang"]: r["n"] for r in df.where(~language.is_held_out(F.col("doc_id")) & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert language.rates({"a": 5, "b": 1000, "c": 3000}, 205) == {"a": 1.0, "b": 0.1, "c": 100 / 3000} and language.rates({"a": 5}, 9) == {"a": 1.0}
+    for bound in (60, 20):
+        model = language.train(df, bound)
+        assert model.langs == ("en", "fr")
+        assert np.allclose(np.exp(model.prior), [(usable[x] + 1) / (sum(usable.values()) + 2) for x in model.langs])
+        assert model.predict(["maison", "water"])[0] == ["fr", "en"]
+
+
+
 def test_long_texts_are_whole(monkeypatch):
     model = language.LanguageModel(("a", "b"), np.random.default_rng(1).normal(size=(language.WIDTH + 1, 2)) * (np.arange(language.WIDTH + 1) < language.WIDTH)[:, None], np.zeros(2))
     text = "".join(random.Random(1).choice("abc dé ") for _ in range(5000))

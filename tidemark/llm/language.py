@@ -14,7 +14,7 @@ from tidemark.llm.common import pick
 
 #: n-grams of 1 to 3 characters, hashed into so many buckets each.
 SIZES, BITS = (1, 2, 3), 15
-#: Labelled documents that training reads at most, about; chosen by a hash of doc_id.
+#: Labelled documents that training reads at most, about; chosen by a hash of doc_id, by language.
 TRAIN_ROWS = 20_000
 PIECE = 1 << 20
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
@@ -121,34 +121,43 @@ def is_held_out(doc_id: F.Column) -> F.Column:
     return F.pmod(F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")), F.lit(4)) == 2
 
 
+def rates(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """The share of each language's documents that makes about `rows` in all: all of those that have few, and equally many of the others."""
+    out, left = {}, rows
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        quota = min(n, max(1.0, left / (len(counts) - k)))
+        out[lang], left = quota / n, left - quota
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS, tasks: int = 8, smoothing: float = 0.5) -> LanguageModel:
     """Count n-grams by language over about `rows` labelled documents that aren't held out.
 
-    docs has doc_id, text and lang. The sample is those whose hash of doc_id falls below rows / count; each task returns
+    docs has doc_id, text and lang. The sample of a language is those whose hash of doc_id falls below its rate; languages with few
+    documents keep all. Priors are of all usable documents. Each task returns
     one dense vector of counts for a language, so the driver gets tasks * languages of them.
     """
-    total = max(1, docs.count())
     chosen = docs.where(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if total > rows:
-        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    usable = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    some = {lang: rate for lang, rate in rates(usable, rows).items() if rate < 1}
+    if some:
+        bound = F.create_map(*(F.lit(x) for lang, rate in some.items() for x in (lang, int(np.ceil(rate * (1 << 30))))))
+        chosen = chosen.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(bound, F.col("lang")), F.lit(1 << 30)))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: dict[str, np.ndarray] = {}
-        seen: dict[str, int] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
                 counts[lang] = counts.get(lang, 0) + gram_counts(text)
-                seen[lang] = seen.get(lang, 0) + 1
         if counts:
-            yield pd.DataFrame({"lang": list(counts), "n": list(seen.values()), "counts": [x.astype("<i8").tobytes() for x in counts.values()]})
+            yield pd.DataFrame({"lang": list(counts), "counts": [x.astype("<i8").tobytes() for x in counts.values()]})
 
-    parts = chosen.select("lang", "text").repartition(tasks).mapInPandas(count, "lang string, n long, counts binary").collect()
+    parts = chosen.select("lang", "text").repartition(tasks).mapInPandas(count, "lang string, counts binary").collect()
     langs = tuple(sorted({r["lang"] for r in parts}))
     sums = np.zeros((len(langs), WIDTH))
-    seen = np.zeros(len(langs))
+    seen = np.array([usable[x] for x in langs], float)
     for r in parts:
         sums[langs.index(r["lang"])] += np.frombuffer(r["counts"], "<i8")
-        seen[langs.index(r["lang"])] += r["n"]
     table = np.zeros((WIDTH + 1, len(langs)))
     for k in range(len(SIZES)):  # each size of n-gram is a multinomial of its own
         part = sums[:, k << BITS : (k + 1) << BITS] + smoothing
