@@ -19,37 +19,53 @@ LEAST_SCORE = 0.5
 BROADCAST_IDS = 1_000_000
 
 
-def _sifted(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """The documents with (left_semi) or without (left_anti) the written ids. A null doc_id is in no list."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", how).select(*COLUMNS)
+#: Name of the column that tells rows apart.
+KEY = "_row"
+
+
+def _keyed(docs: DataFrame, folder: str) -> DataFrame:
+    """The documents with a key of each row, in the order of doc_id: doc_id itself unless some are null or repeated."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        return docs.select(*COLUMNS, F.col("doc_id").alias(KEY))
+    # the text's hash deals out the rows of one doc_id; the numbers are written, as they would differ in another run
+    order = ["doc_id", F.xxhash64("text")]
+    dealt = docs.select(*COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(dealt.withColumn(KEY, F.monotonically_increasing_id()), folder, "keyed")
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The keyed documents without those of the written keys."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, KEY, "left_anti").select(*COLUMNS)
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letters or whose language the classifier can't tell."""
     ship_package(spark)
-    found = language.identify(docs)
-    rejected = written(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select("doc_id").distinct(), work_folder(spark), "rejected")
-    return _sifted(docs, rejected, "left_anti")
+    folder = work_folder(spark)
+    docs = _keyed(docs, folder)
+    found = language.identify(docs, carried=(KEY,))
+    return _without(docs, written(found.where((F.col("lang_pred") == "und") | (F.col("score") < LEAST_SCORE)).select(KEY), folder, "rejected"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id; of rows repeated with that id, one."""
+    """One document of each group of near-duplicates: that with the smallest doc_id; of rows repeated with that id, one.
+
+    Rows with one doc_id are compared like any others. A document without an id is linked with nothing, as in op10, and stays.
+    """
     ship_package(spark)
     folder = work_folder(spark)
-    found = written(neardup.near_duplicates(docs).select("doc_id", "kept"), folder, "found")
-    dropped = written(found.where("not kept").select("doc_id").distinct(), folder, "dropped")
-    kept = _sifted(docs, dropped, "left_anti")
-    repeated = written(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), folder, "repeated")
-    if repeated.isEmpty():
-        return kept
-    return _sifted(kept, repeated, "left_anti").unionByName(_sifted(kept, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    docs = _keyed(docs, folder)
+    found = neardup.near_duplicates(docs.where("doc_id is not null"), id_col=KEY)
+    return _without(docs, written(found.where("not kept").select(F.col("doc_id").alias(KEY)), folder, "dropped"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that hold a passage of the benchmark."""
     ship_package(spark)
-    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("doc_id is not null").select("doc_id").distinct()
-    return _sifted(docs, written(leaks, work_folder(spark), "leaks"), "left_anti")
+    folder = work_folder(spark)
+    docs = _keyed(docs, folder)
+    leaks = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"), id_col=KEY).select(F.col("doc_id").alias(KEY)).distinct()
+    return _without(docs, written(leaks, folder, "leaks"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,6 +43,22 @@ def test_repeated_rows_with_one_id(spark, folder):
     assert sorted([r.doc_id for r in out], key=str) == [1, None]
 
 
+def test_null_and_repeated_ids_are_judged_by_their_text(spark, folder):
+    fine = "the water and the house of them with this"
+    base = docs(spark)
+    rows = [(None, "12 34 ...", "en", "s", 1), (None, ITEM, "en", "s", 1), (None, fine + " null", "en", "s", 1), (900, fine + " first text", "en", "s", 1), (900, "12 34 ...", "en", "s", 1), (900, f"{fine} {ITEM} and more", "en", "s", 1)]
+    rows += [(901, "les enfants de la rue avec une maison bleue", "fr", "s", 1), (901, "a house of water stands with them on the hill", "en", "s", 1)]
+    kept = base.unionByName(spark.createDataFrame(rows, COLUMNS))
+    for stage, gone in ((P.keep_known_languages, {"12 34 ..."}), (P.drop_near_duplicates, set()), (P.drop_benchmark_leaks, {ITEM, f"{fine} {ITEM} and more"})):
+        out = stage(spark, kept, folder)
+        assert out.columns == list(P.COLUMNS)
+        found = out.collect()
+        assert {(r.doc_id, r.text) for r in found if r.doc_id is None or r.doc_id >= 900} == {r[:2] for r in rows if r[1] not in gone}, stage
+        kept = spark.createDataFrame(found, COLUMNS)
+        rows = [r for r in rows if r[1] not in gone]
+    assert len(rows) == 4
+
+
 def test_masks(spark, folder):
     out = {r.doc_id: r for r in P.mask_personal_data(spark, docs(spark), folder).collect()}
     assert out[101].text == "mail me at [EMAIL] or [PHONE] the house of water" and out[101].n_chars == len(out[101].text) and out[103].text is None

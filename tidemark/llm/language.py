@@ -165,22 +165,23 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, tasks: int = 8, smoothing: fl
     return LanguageModel(langs, table, np.log((seen + 1) / (seen.sum() + len(langs))) if langs else np.zeros(0))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row for each input row: doc_id, held_out, lang_pred, score.
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, carried: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each input row: doc_id, held_out, lang_pred, score, and the columns that are carried along.
 
     The model learns from documents that aren't held out; a prediction sees the text alone. A null text, an empty one
     and one without letters give `und` and 0, and so does every text if nothing is labelled. Ties go to the first language in order.
     A null doc_id counts as an empty string for the split. Repeated rows give equal rows; an empty table gives none.
     The matrix (3 * 32768 buckets by language) is broadcast.
     """
-    docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
+    docs = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, **{c: c for c in carried})
     model = docs.sparkSession.sparkContext.broadcast(train(docs, train_rows))
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in filter(len, batches):
             found, scores = model.value.predict([x if isinstance(x, str) else None for x in batch["text"]])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": found, "score": scores})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": found, "score": scores, **{c: batch[c] for c in carried}})
 
-    narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text")
+    narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *carried)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return narrow.mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")
