@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, language, media, pii, secrets, tagger, urlfilter, warc
+from tidemark.llm import bpe, language, media, pii, queries, secrets, tagger, urlfilter, warc
 from tidemark.llm.spans import joined, masked
 
 EDGES = [(1, None), (2, ""), (3, "plain words"), (3, "plain words"), (None, "x"), (5, "é😀" * 40)]
@@ -105,6 +105,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert sum(1 for f in files for _ in warc.read_archive([open(f, "rb").read()])) == 3
 
 
+def test_warc_query_returns_pages_without_id(spark, tmp_path):
+    big, top = "<p>" + "z" * 1200, (1 << 62) + 1
+    pages = [(1, "u", big), (top, "u", big), (None, "u", big), (None, None, "small"), (None, None, "small")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in queries.op3_warc(spark, str(tmp_path)).collect()), key=str)
+    assert found == sorted([(1, 1203, "revisit", top), (top, 1203, "response", None), (None, 1203, "response", None)] + [(None, 5, "response", None)] * 2, key=str)
+
+
 # secrets and personal data
 
 

@@ -29,7 +29,7 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    return warc.warc_round_trip(table(spark, sf_dir, "pages")).drop("url")
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"), unnamed=True).drop("url")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,21 +102,23 @@ def parse_record(data: bytes) -> Record:
     return record
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, payload_digest: str, original: int | None) -> bytes:
-    """A response with the payload as its block, or a revisit of `original` with an empty block."""
-    headers = [("WARC-Type", "response" if original is None else "revisit"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
+def page_record(page_id: int | None, url: str | None, payload: bytes, payload_digest: str, original: int | None, row: int = 0) -> bytes:
+    """A response with the payload as its block, or a revisit of `original` with an empty block; the row's number names a page without an id."""
+    name = record_id(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}')}>"
+    headers = [("WARC-Type", "response" if original is None else "revisit"), ("WARC-Record-ID", name), ("WARC-Date", DATE)]
     if url:
         headers.append(("WARC-Target-URI", "".join(c if c > " " else f"%{ord(c):02X}" for c in url)))
     headers.append(("WARC-Payload-Digest", payload_digest))
     if original is not None:
         headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", record_id(original)), ("WARC-Refers-To-Page", str(original))]
-    headers += [("WARC-Page", str(page_id)), ("WARC-Payload-Length", str(len(payload)))]
+    headers += [("WARC-Page", str(page_id))] if page_id is not None else []
+    headers += [("WARC-Payload-Length", str(len(payload)))]
     block = payload if original is None else b""
     headers += [("Content-Type", "text/html; charset=utf-8"), ("WARC-Block-Digest", digest(block))]
     return write_record(headers, block)
 
 
-def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES, unnamed: bool = False) -> DataFrame:
     """(archive, content): archives of the pages (page_id, url, html) as binary rows of at most about `archive_bytes`.
 
     Equal payloads of at least `least` bytes are found by their digest: partial maxima go through the shuffle, and only
@@ -128,13 +130,16 @@ def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
     shared = keyed.where("sha1 is not null").groupBy("sha1").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).where("n > 1").select("sha1", "original")
     joined = keyed.join(written(shared, folder, "shared"), "sha1", "left")
     joined = joined.select("page_id", "url", "payload", F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("original"))
+    # ids as strings, since pandas would make floats of numbers among nulls
+    joined = (joined if unnamed else joined.where("page_id is not null")).withColumns({c: F.col(c).cast("string") for c in ("page_id", "original")})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+        part, seq, held, size, row = TaskContext.get().partitionId(), 0, [], 0, 0
         for batch in filter(len, batches):
             for page_id, url, payload, original in zip(*(batch[c] for c in ("page_id", "url", "payload", "original")), strict=True):
                 payload = bytes(payload)
-                held.append(page_record(int(page_id), url, payload, digest(payload), None if pd.isna(original) else int(original)))
+                held.append(page_record(None if pd.isna(page_id) else int(page_id), url, payload, digest(payload), None if pd.isna(original) else int(original), (part << 33) + row))
+                row += 1
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield pd.DataFrame({"archive": [f"part-{part:06d}-{seq:05d}.warc.gz"], "content": [b"".join(held)]})
@@ -142,7 +147,7 @@ def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
         if held:
             yield pd.DataFrame({"archive": [f"part-{part:06d}-{seq:05d}.warc.gz"], "content": [b"".join(held)]})
 
-    return written(joined.where("page_id is not null").mapInPandas(build, "archive string, content binary"), folder, "archives")
+    return written(joined.mapInPandas(build, "archive string, content binary"), folder, "archives")
 
 
 _FORM = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -164,10 +169,10 @@ def read_archives(archives: DataFrame) -> DataFrame:
                     if kind == "response" and (told != digest(record.payload) or size != len(record.payload)):
                         raise ValueError("the payload doesn't have its digest or length")
                     refers = record.header("WARC-Refers-To-Page")
-                    rows.append((int(record.header("WARC-Page")), size, hex_digest(told), kind, None if refers is None else int(refers), record.header("WARC-Target-URI")))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in _FORM.split(", ")])
+                    rows.append((None if (page := record.header("WARC-Page")) is None else int(page), size, hex_digest(told), kind, None if refers is None else int(refers), record.header("WARC-Target-URI")))
             if rows:
-                yield out.astype({"refers_to": "Int64"})
+                columns = zip((c.split()[0] for c in _FORM.split(", ")), zip(*rows, strict=True), strict=True)
+                yield pd.DataFrame({c: pd.array(x, "Int64") if c in ("page_id", "refers_to") else list(x) for c, x in columns})
 
     return archives.mapInPandas(read, _FORM)
 
@@ -186,12 +191,12 @@ def write_files(archives: DataFrame, folder: str) -> list[str]:
     return paths
 
 
-def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> DataFrame:
+def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT, unnamed: bool = False) -> DataFrame:
     """One row for each page, read back from archives: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
     Of pages with equal payloads of at least `least` bytes that with the largest page_id is the response, and the others
-    revisit it. A null html has an empty payload; a null url has no target; a page without an id can't be named in an archive
-    and is left out. Rows repeated with one page_id and payload are all responses. An empty table gives no rows.
+    revisit it. A null html has an empty payload; a null url has no target; a page without an id is a response
+    with a null page_id if `unnamed`, else it is left out. Rows repeated with one page_id and payload are all responses. An empty table gives no rows.
     """
     pages = pick(pages, page_id=id_col, url=url_col, html=html_col)
-    return read_archives(build_archives(pages.withColumn("page_id", F.col("page_id").cast("bigint")), least))
+    return read_archives(build_archives(pages.withColumn("page_id", F.col("page_id").cast("bigint")), least, unnamed=unnamed))
