@@ -198,3 +198,93 @@ def test_pick(spark):
     assert pick(df, id="doc_id", t="text").first() == (1, "x")
     with pytest.raises(ValueError):
         pick(df, a="nothing")
+
+
+def thue_morse(length):
+    a, b = "a", "b"
+    while len(a) < length:
+        a, b = a + b, b + a
+    return a[:length], b[:length]
+
+
+def test_words_of_one_polynomial_are_apart(spark):
+    """Words that any polynomial modulo 2**64 takes for equal, in documents that are otherwise equal."""
+    for length in (256, 1024, 4096):
+        a, b = (word_hashes(np.frombuffer(x.encode(), np.uint8))[0][0] for x in thue_morse(length))
+        assert a != b
+    a, b = thue_morse(1024)
+    docs = [(1, f"{a} one two three four"), (2, f"{b} one two three four"), (3, f"{a.upper()}  one\ttwo three four")]
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_equal_hashes_are_not_links(spark, monkeypatch):
+    """With hashes that take all words for one, only the words themselves keep documents apart."""
+    monkeypatch.setattr(neardup, "shingle_set", lambda words, size: shingle_set(words, size) * 0 + 7)
+    texts = {f"d{k}": neardup.numbered_shingles([f"a{k} b c d e f", "a0 b c d e f"]) for k in range(3)}
+    assert [neardup.linked(*pair, 75) for pair in texts.values()] == [True, False, False]
+    batch = neardup.pa.RecordBatch.from_pylist([{"a": 1, "part": 0, "b": None, "text": "x b c d e f"}, {"a": 1, "part": 0, "b": 2, "text": "y b c d e f"}, {"a": 1, "part": 0, "b": 3, "text": "X b c d e f"}])
+    out = [r for found in neardup.verify_sets(5, 75)(iter([batch])) for r in found.to_pylist()]
+    assert out == [{"a": 1, "b": 3}]
+
+
+def test_numbered_shingles():
+    rnd = random.Random(1)
+    for _ in range(200):
+        texts = [" ".join(rnd.choice("abcD") for _ in range(rnd.randint(0, 12))) for _ in range(5)]
+        sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+        numbers = neardup.numbered_shingles(texts)
+        for i, j in itertools.product(range(5), repeat=2):
+            assert len(numbers[i]) == len(sets[i]) and len(np.intersect1d(numbers[i], numbers[j])) == len(sets[i] & sets[j])
+
+
+def plain_overlap(tokens, item, least=13, share=0.8):
+    """The best run by trying all diagonals and all runs: (equal tokens, -first, -length)."""
+    need, best = min(least, len(item)), None
+    for d in range(-len(item) + 1, len(tokens)):
+        low, high = max(0, -d), min(len(item), len(tokens) - d)
+        sums = np.concatenate([[0], np.cumsum(tokens[low + d : high + d] == item[low:high])])
+        for i in range(high - low):
+            for j in range(i + need, high - low + 1):
+                n = int(sums[j] - sums[i])
+                if n >= share * (j - i) - 1e-9 and (best is None or (n, -(low + d + i), i - j) > best):
+                    best = (n, -(low + d + i), i - j)
+    return best and (-best[1], -best[1] - best[2], best[0])
+
+
+def test_best_overlap_by_brute_force():
+    rng = np.random.default_rng(3)
+    for words in (2, 3, 6, 40):
+        for _ in range(40):
+            tokens, item = rng.integers(1, words + 1, rng.integers(1, 50)).astype(np.uint64), rng.integers(1, words + 1, rng.integers(1, 25)).astype(np.uint64)
+            got, want = decontaminate.best_overlap(tokens, np.argsort(tokens, kind="stable"), item), plain_overlap(tokens, item)
+            assert (got and got[2]) == (want and want[2]) and (got is None or got[0] == want[0]), (tokens, item, got, want)
+
+
+def test_a_token_that_repeats(spark):
+    """A text and an item that repeat one word take bounded memory and give one row."""
+    docs, items = [(1, "spam " * 100_000), (2, "spam " * 900 + "egg"), (3, "egg ham")], [(7, "spam " * 1000), (8, "spam " * 800 + "ham")]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): (r.first_token, r.end_token, r.equal_tokens) for r in rows} == {(1, 7): (0, 1000, 1000), (1, 8): (0, 800, 800), (2, 7): (0, 900, 900), (2, 8): (0, 800, 800)} and len(rows) == 4
+
+
+def test_many_items(spark, monkeypatch):
+    """Thousands of items, joined by shuffling with salts, each found in its own document; others share all but a few of their tokens."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_MB", 0)
+    items = [(k, " ".join(f"v{k}x{j}" for j in range(14))) for k in range(1500)] + [(None, "only this one item lacks an id but it counts like any other item")] * 2
+    docs = [(k, f"before it {text} after") for k, text in items[:1500:3]] + [(5000, " ".join(t for _, t in items[:300])), (None, items[4][1]), (6000, items[-1][1])]
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.lit(1)), spark.createDataFrame(items, "item_id long, text string").withColumn("key", F.lit(1)), block_tokens=1000).collect()
+    want = [(k, k) for k in range(0, 1500, 3)] + [(5000, k) for k in range(300)] + [(None, 4), (6000, None), (6000, None)]
+    assert collections.Counter((r.doc_id, r.item_id) for r in rows) == collections.Counter(want)
+
+
+def test_folders_on_a_cluster(spark, monkeypatch):
+    class Cluster:
+        master = "spark://there:7077"
+
+    class Session:
+        sparkContext = Cluster()
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        work_folder(Session())

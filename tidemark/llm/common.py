@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.shipping import ship_package as ship_package
 
-#: Bytes of text after which the Python side of an operator works off what it has gathered.
-BATCH_CHARS = 1 << 20
-
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Exactly the named columns under new names: pick(df, id="doc_id").
@@ -31,10 +28,12 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 def work_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which the driver and all executors share.
 
-    Where the setting is absent (a local session), a temporary folder takes its place.
+    Where the setting is absent a local session gets a temporary folder; on a cluster that is an error, since no folder of one machine would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
@@ -47,5 +46,13 @@ def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Delete written tables that nothing reads any more: all that was made of them has been written too."""
+    context = spark.sparkContext
+    for name in names:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

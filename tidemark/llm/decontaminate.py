@@ -1,29 +1,35 @@
 """Benchmark decontamination by spaced seeds.
 
 A seed is the hash of the tokens that a fixed mask selects; masks ignore some positions, so a substituted token spoils only the
-seeds that select it. Seeds of the test items and of the documents are joined; around each hit the item is laid along
-the document, and it counts if any run of aligned tokens is long enough and has enough equal ones.
+seeds that select it. Seeds of test items and of documents are rows of two tables, which are joined; a document and an item that share a
+seed are compared: the item is laid along the document wherever enough tokens meet, and it counts if any run of aligned
+tokens is long enough and has enough equal ones.
+
+A table of bits of the items' seeds, of a fixed size, spares the join most seeds of documents that no item has; the join decides. Frequent
+seeds are dealt over salts. Equal texts are joined once, by their hash, and each is compared on its own.
 """
 
 from __future__ import annotations
 
-import dataclasses
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import discard, pick, work_folder, written
 from tidemark.llm.textkernels import PUNCTUATION, mix, word_hashes
 
 #: 1 selects a token, 0 ignores it. Together they hit every run of 13, 15, 20 and 25 tokens with 2, 3, 4 and 5 substitutions,
 #: and so every run of at least 13 with 80 % equal ones: a longer one holds one of these, or splits into two of which one has 80 %.
 MASKS = ("111111", "1110010111", "11010110011", "110110100011", "1011000110101", "1110111")
-#: Tokens of a block of test items, which is broadcast; documents are read once for each block.
-BLOCK_TOKENS = 250_000
+#: Least and most size of the table of bits, as a power of two; and rows and MB up to which items' seeds and candidates are broadcast.
+BITS, BROADCAST_ROWS, BROADCAST_MB = (16, 24), 300_000, 32
+#: Salts over which each seed is dealt; tokens of items that a text is compared with at a time, about.
+SALTS, BLOCK_TOKENS = 16, 250_000
 #: Least aligned tokens (all, if the item has fewer), and the least share of equal ones among them.
 LEAST_OVERLAP, LEAST_EQUAL = 13, 0.8
 _GATHER = 1 << 19
@@ -32,10 +38,10 @@ _CELLS = 1 << 18
 _FACTORS = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def mask_seeds(tokens: np.ndarray, mask: str, number: int) -> np.ndarray:
+def mask_seeds(tokens: np.ndarray, mask: str) -> np.ndarray:
     """The seed at each place where the mask fits."""
     n = max(0, len(tokens) - len(mask) + 1)
-    total = np.full(n, np.uint64(number + 1), np.uint64)
+    total = np.full(n, np.uint64(int("1" + mask, 2)), np.uint64)
     for k, bit in enumerate(mask):
         if bit == "1":
             total += tokens[k : k + n] * _FACTORS[k]
@@ -53,57 +59,86 @@ def tokens_of(text: str) -> np.ndarray:
     return word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), PUNCTUATION)[0]
 
 
-@dataclasses.dataclass
-class TestBlock:
-    """Seeds of some test items in order, with the item and place of each, and a table of bits that most other seeds miss."""
-
-    ids: list[int]
-    tokens: list[np.ndarray]
-    masks: list[str]
-    seeds: np.ndarray = dataclasses.field(init=False)
-
-    def __post_init__(self) -> None:
-        seeds, items, places = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for number, mask in enumerate(self.masks):
-            for item, tokens in enumerate(self.tokens):
-                if number < len(MASKS) or len(tokens) == len(mask):  # a mask made for short items is for those of its length
-                    found = mask_seeds(tokens, mask, number)
-                    seeds.append(found)
-                    items.append(np.full(len(found), item))
-                    places.append(np.arange(len(found)))
-        flat = np.concatenate(seeds)
-        by = np.argsort(flat, kind="stable")
-        self.seeds, self.items, self.places = flat[by], np.concatenate(items)[by], np.concatenate(places)[by]
-        self.bits = min(24, max(16, int(64 * len(flat)).bit_length()))
-        self.near = np.zeros(1 << self.bits, bool)
-        self.near[self.seeds >> np.uint64(64 - self.bits)] = True
-        self.sizes = np.array([len(x) for x in self.tokens], np.int64)
-        self.begins, self.flat = np.cumsum(self.sizes) - self.sizes, np.concatenate(self.tokens)
-
-    def hits(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(item, document, place in the tokens that the item's first token would have), once each, of the seeds in common.
-
-        The tokens are those of some documents in turn, which the bounds part; a seed lies within one of them.
-        """
-        items, docs, diagonals = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for number, mask in enumerate(self.masks):
-            seeds = mask_seeds(tokens, mask, number)
-            at = np.flatnonzero(self.near[seeds >> np.uint64(64 - self.bits)])
-            doc = np.searchsorted(bounds, at, "right") - 1
-            inside = at + len(mask) <= bounds[doc + 1]
-            at, doc = at[inside], doc[inside]
-            low, high = np.searchsorted(self.seeds, seeds[at], "left"), np.searchsorted(self.seeds, seeds[at], "right")
-            n = high - low
-            if n.any():
-                of = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                items.append(self.items[of])
-                docs.append(np.repeat(doc, n))
-                diagonals.append(np.repeat(at, n) - self.places[of])
-        found = np.stack([np.concatenate(x) for x in (items, docs, diagonals)])
-        found = found[:, np.lexsort(found)]
-        first = np.ones(found.shape[1], bool)
-        first[1:] = (found[:, 1:] != found[:, :-1]).any(axis=0)
-        return tuple(found[:, first])
+def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) to (item_id, n, tokens); texts without tokens are left out."""
+    form = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
+    for batch in batches:
+        rows = [(i, tokens) for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) if len(tokens := tokens_of(text.as_py() or ""))]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(x) for _, x in rows], pa.int32()), pa.array([x.astype("<u8").tobytes() for _, x in rows], pa.binary())], schema=form)
+
+
+def item_seeds(share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, tokens) to the distinct (key, seed); a mask made for short items is for those of its length."""
+    form = pa.schema([("key", pa.int64()), ("seed", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens = np.frombuffer(data, "<u8")
+                masks = [*MASKS, *(short_masks(len(tokens), share) if len(tokens) < LEAST_OVERLAP else [])]
+                seeds = np.unique(np.concatenate([mask_seeds(tokens, m) for m in masks])).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), key)), pa.array(seeds)], schema=form)
+
+    return run
+
+
+def _places(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    return seeds & np.uint64((1 << bits) - 1), (seeds >> np.uint64(32)) & np.uint64((1 << bits) - 1)
+
+
+def bit_table(seeds: DataFrame, rows: int) -> tuple[int, np.ndarray]:
+    """(bits, table): the two places of every seed are set. The words of 64 bits are put together in Spark; there are at most 2**18."""
+    bits = min(BITS[1], max(BITS[0], (64 * rows).bit_length()))
+    place = F.explode(F.array(F.col("seed"), F.shiftrightunsigned("seed", 32))).alias("place")
+    place = seeds.select(place).select(F.col("place").bitwiseAND(F.lit((1 << bits) - 1)).alias("place"))
+    words = place.groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return bits, table.astype("<u8")
+
+
+def text_seeds(masks: list[str], table) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+    """(h, text) to the distinct (h, seed) of seeds whose bits are set."""
+    form = pa.schema([("h", pa.int64()), ("seed", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, packed = table.value
+        near = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+
+        def found(hashes: list[int], texts: list[bytes]) -> pa.RecordBatch:
+            words, start, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8), PUNCTUATION)
+            bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts)]))
+            rows, hits = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+            for mask in masks:
+                seeds = mask_seeds(words, mask)
+                first, second = _places(seeds, bits)
+                at = np.flatnonzero(near[first])
+                at = at[near[second[at]]]
+                doc = np.searchsorted(bounds, at, "right") - 1
+                inside = at + len(mask) <= bounds[doc + 1]  # a seed lies within one text
+                rows.append(doc[inside])
+                hits.append(seeds[at[inside]])
+            row, seed = np.concatenate(rows), np.concatenate(hits)
+            by = np.lexsort((seed, row))
+            row, seed = row[by], seed[by]
+            first = np.ones(len(row), bool)
+            first[1:] = (row[1:] != row[:-1]) | (seed[1:] != seed[:-1])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[row[first]]), pa.array(seed[first].view(np.int64))], schema=form)
+
+        hashes, texts, held = [], [], 0
+        for batch in batches:
+            for h, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if data := (text.as_py() or "").encode("utf-8", "surrogatepass"):
+                    hashes.append(h)
+                    texts.append(data)
+                    held += len(data)
+                    if held > _GATHER:
+                        yield found(hashes, texts)
+                        hashes, texts, held = [], [], 0
+        if hashes:
+            yield found(hashes, texts)
+
+    return run
 
 
 def scores(share: float) -> tuple[int, int]:
@@ -166,65 +201,53 @@ def overlapping(words: np.ndarray, flat: np.ndarray, begin: np.ndarray, at: np.n
     return out
 
 
-def test_blocks(benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS, least: int = LEAST_OVERLAP, share: float = LEAST_EQUAL) -> Iterator[TestBlock]:
-    """Items (item_id, text) in blocks, read one partition at a time; null and empty texts are left out."""
-    ids, tokens, held = [], [], 0
-
-    def block() -> TestBlock:
-        short = sorted({len(x) for x in tokens if len(x) < LEAST_OVERLAP})
-        return TestBlock(ids, tokens, [*MASKS, *(mask for n in short for mask in short_masks(n, share))])
+def best_overlap(tokens: np.ndarray, order: np.ndarray, item: np.ndarray, least: int = LEAST_OVERLAP, share: float = LEAST_EQUAL) -> tuple[int, int, int] | None:
+    """The best overlap of an item with a text wherever it may be laid: most equal tokens, then the first; None if none is enough.
 
-    for item_id, text in benchmark.toLocalIterator():
-        found = tokens_of(text or "")
-        if len(found):
-            if held and held + len(found) > block_tokens:
-                yield block()
-                ids, tokens, held = [], [], 0
-            ids.append(item_id)
-            tokens.append(found)
-            held += len(found)
-    if ids:
-        yield block()
+    order sorts the tokens. Equal tokens are counted by diagonal, one token of the item at a time, so that a token that
+    both repeat many times takes time but no memory; only diagonals with enough of them are looked at.
+    """
+    need, ordered = min(least, len(item)), tokens[order]
+    low, high = np.searchsorted(ordered, item, "left"), np.searchsorted(ordered, item, "right")
+    met = np.zeros(len(tokens) + len(item), np.int32)
+    for j, (a, b) in enumerate(zip(low.tolist(), high.tolist(), strict=True)):
+        if a < b:
+            met[order[a:b] + (len(item) - j)] += 1
+    at = np.flatnonzero(met >= int(np.ceil(need * Fraction(share).limit_denominator(1000))))
+    diagonals = at - len(item)
+    begin = np.maximum(0, -diagonals)
+    size = np.minimum(len(item), len(tokens) - diagonals) - begin
+    fine = overlapping(tokens, item, begin, diagonals + begin, size, np.full(len(at), need), share)
+    left = diagonals[fine][np.argsort(-met[at[fine]], kind="stable")]
+    best = None
+    while len(left):
+        run = overlap(tokens, item, int(left[0]), least, share)
+        if run and (best is None or (run[2], -run[0]) > (best[2], -best[0])):
+            best = run
+        left = left[1:]
+        if best:  # what can still be better: more equal tokens, or as many further ahead
+            most = met[left + len(item)]
+            left = left[(most > best[2]) | ((most == best[2]) & (np.maximum(left, 0) < best[0]))]
+    return best
 
 
 _FORM = "doc_id long, item_id long, first_token long, end_token long, equal_tokens long"
 
 
-def _matcher(block, least: int, share: float):  # noqa: ANN001, ANN202
+def compare_texts(least: int, share: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text, items) to a row for each item that overlaps enough."""
     form = pa.schema([(c.split()[0], pa.int64()) for c in _FORM.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test: TestBlock = block.value
-
-        def found(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            words, start, _ = word_hashes(np.frombuffer(b"\n".join(texts), np.uint8), PUNCTUATION)
-            bounds = np.searchsorted(start, np.cumsum([0, *(len(x) + 1 for x in texts)]))
-            items, docs, diagonals = test.hits(words, bounds)
-            # the part of each item that lies within the document
-            low = np.maximum(0, bounds[docs] - diagonals)
-            size = np.minimum(test.sizes[items], bounds[docs + 1] - diagonals) - low
-            fine = overlapping(words, test.flat, test.begins[items] + low, diagonals + low, size, np.minimum(test.sizes[items], least), share)
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for item, doc, diagonal in zip(items[fine].tolist(), docs[fine].tolist(), diagonals[fine].tolist(), strict=True):
-                a, b = int(bounds[doc]), int(bounds[doc + 1])
-                run = overlap(words[a:b], test.tokens[item], diagonal - a, least, share)
-                if run and (run[2], -run[0]) > (lambda x: (x[2], -x[0]) if x else (0, 0))(best.get((doc, item))):
-                    best[doc, item] = run
-            rows = [(ids[doc], test.ids[item], *run) for (doc, item), run in sorted(best.items())]
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], schema=form)
-
-        ids, texts, held = [], [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if data := (text.as_py() or "").encode("utf-8", "surrogatepass"):
-                    ids.append(doc_id)
-                    texts.append(data)
-                    held += len(data)
-                    if held > _GATHER:
-                        yield found(ids, texts)
-                        ids, texts, held = [], [], 0
-        if ids:
-            yield found(ids, texts)
+            rows = []
+            for doc_id, text, items in zip(*(batch.column(c) for c in ("id", "text", "items")), strict=True):
+                tokens = tokens_of(text.as_py() or "")
+                order = np.argsort(tokens, kind="stable")
+                for item in items.as_py():
+                    if found := best_overlap(tokens, order, np.frombuffer(item["tokens"], "<u8"), least, share):
+                        rows.append((doc_id.as_py(), item["item_id"], *found))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], schema=form)
 
     return run
 
@@ -234,13 +257,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Tokens are runs of ASCII letters, digits and other scripts' characters, A-Z lower-cased. A pair counts if some run of
     at least 13 aligned tokens (the whole item, if shorter) has at least 80 % equal ones; the run with
-    most equal tokens is given, of several the shortest, then the first. Every such pair is found (masks are made for these limits). Null and empty texts overlap with nothing; a null doc_id or item_id is carried along;
-    repeated rows give repeated rows; with an empty table there are no rows. Test items are broadcast in blocks of a bounded size.
+    most equal tokens is given, of several the first, and there the shortest. Every such pair is found (masks are made for these limits).
+    Null and empty texts overlap with nothing; a null doc_id or item_id is carried along; repeated rows give repeated rows; with an empty
+    table there are no rows; other columns are ignored. Texts of any length are compared whole.
     """
-    docs = pick(docs, id=id_col, text=text_col)
-    docs = docs.select(docs["id"].cast("bigint").alias("id"), "text")
-    out = None
-    for block in test_blocks(pick(benchmark, item_id=item_col, text=item_text_col), block_tokens, least, share):
-        part = docs.mapInArrow(_matcher(docs.sparkSession.sparkContext.broadcast(block), least, share), _FORM)
-        out = part if out is None else out.union(part)
-    return docs.sparkSession.createDataFrame([], _FORM) if out is None else out
+    spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
+    docs = pick(docs, id=id_col, text=text_col).where(F.col("text") != "")
+    docs = docs.select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("h"))
+    items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    items = items.mapInArrow(item_rows, "item_id long, n int, tokens binary").withColumn("key", F.monotonically_increasing_id())
+    items = written(items, folder, "items")
+    seeds = written(items.select("key", "tokens").mapInArrow(item_seeds(share), "key long, seed long"), folder, "item-seeds")
+    lengths = sorted(r["n"] for r in items.where(F.col("n") < LEAST_OVERLAP).select("n").distinct().collect())  # 12 at most
+    masks = list(dict.fromkeys([*MASKS, *(mask for n in lengths for mask in short_masks(n, share))]))
+    rows = seeds.count()
+    table = spark.sparkContext.broadcast(bit_table(seeds, rows))
+    found = docs.select("h", "text").mapInArrow(text_seeds(masks, table), "h long, seed long").distinct()
+    if rows <= BROADCAST_ROWS:
+        pairs = found.join(F.broadcast(seeds), "seed")
+    else:
+        salted = seeds.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = found.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["seed", "salt"])
+    pairs = written(pairs.select("h", "key").distinct(), folder, "pairs")
+
+    parts = pairs.join(items.select("key", "n"), "key").groupBy("h").agg(F.ceil(F.sum("n") / F.lit(block_tokens)).alias("parts"))
+    dealt = pairs.join(parts, "h").select("h", "key", F.pmod(F.xxhash64("key"), F.col("parts")).alias("part")).join(items, "key")
+    lists = dealt.groupBy("h", "part").agg(F.collect_list(F.struct("item_id", "tokens")).alias("items"), F.sum(F.octet_length("tokens") + 64).alias("bytes"))
+    lists = written(lists, folder, "lists")
+    if (lists.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_MB << 20:
+        lists = F.broadcast(lists)
+    out = docs.join(lists, "h").select("id", "text", "items").mapInArrow(compare_texts(least, share), _FORM)
+    discard(spark, folder, "items", "item-seeds", "pairs")
+    return out

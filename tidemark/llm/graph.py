@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import discard, written
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:
@@ -17,7 +17,7 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("id")).alias("label"))
-    labels, k = written(first.withColumn("changed", F.lit(True)), folder, f"{name}-0"), 0
+    labels, k = written(first.withColumn("changed", F.lit(True)), folder, f"{name}/0"), 0
     while not labels.where("changed").isEmpty():
         k += 1
         of = labels.select(F.col("id").alias("at"), F.col("label").alias("near"))
@@ -25,5 +25,6 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
         jumped = labels.join(of, F.col("label") == F.col("at")).select("id", "near")
         own = labels.select("id", F.col("label").alias("near"), F.col("label").alias("old"))
         gathered = own.unionByName(told.union(jumped), allowMissingColumns=True).groupBy("id").agg(F.min("near").alias("label"), F.min("old").alias("old"))
-        labels = written(gathered.select("id", "label", (F.col("label") < F.col("old")).alias("changed")), folder, f"{name}-{k}")
+        labels = written(gathered.select("id", "label", (F.col("label") < F.col("old")).alias("changed")), folder, f"{name}/{k}")
+        discard(links.sparkSession, folder, f"{name}/{k - 1}")
     return labels.select("id", "label")

@@ -1,10 +1,11 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-1. Each document gets the set of its word shingles (64-bit hashes), a digest of the set and 128 minima. Equal sets are one class.
+1. Each document gets the set of its word shingles (64-bit hashes), 128 minima of it, and a digest of its whole sequence of words.
+   Documents with equal sequences are one class; equal sets of other sequences are links like any others.
 2. Classes that share a band of four minima are candidates. First every class of a bucket is held against the bucket's
    smallest id; signatures are compared in batches, and a pair goes when the posterior probability that its similarity
    reaches the threshold falls below the chosen miss probability.
-3. Survivors are verified on full sets made from their texts, and the links' components found.
+3. Survivors are verified on full sets of their texts' words, which are numbered and not hashed, and the links' components found.
 4. Survivors also join classes to families. A family that still holds several components is laid out in cells of bounded size,
    two blocks of its classes each; a cell compares and verifies all pairs of different components, and gives only the links that join some.
 5. In buckets that still hold several components, all pairs of different components and families are compared in cells of bounded
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, work_folder, written
+from tidemark.llm.common import discard, pick, work_folder, written
 from tidemark.llm.graph import components
-from tidemark.llm.textkernels import shingle_set, word_hashes
+from tidemark.llm.textkernels import normal_bytes, numbered_shingles, shingle_set, word_hashes
 
 MINIMA, BAND = 128, 4
 BANDS, BATCH = MINIMA // BAND, 16
@@ -40,6 +41,8 @@ BLOCK, BLOCK_SHINGLES = 128, 400_000
 #: Ids up to which those of candidates are broadcast to choose their texts; above, the join shuffles.
 BROADCAST_IDS = 300_000
 _GATHER = 200_000
+#: Characters of partners' texts that are verified against a hub at a time.
+_HELD_CHARS = 2_000_000
 
 
 def _randoms() -> tuple[np.ndarray, np.ndarray]:
@@ -47,10 +50,6 @@ def _randoms() -> tuple[np.ndarray, np.ndarray]:
     return make.integers(0, 1 << 63, MINIMA, dtype=np.uint64), make.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def text_set(text: str, size: int) -> np.ndarray:
-    return shingle_set(word_hashes(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8))[0], size)
-
-
 def least_matches(threshold: int = THRESHOLD, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, m): after n minima a pair with fewer than m equal ones is given up.
 
@@ -87,7 +86,7 @@ def sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt, factor = _randoms()
 
-        def rows(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
+        def rows(ids: list, sets: list[np.ndarray], digests: list[bytes | None]) -> pa.RecordBatch:
             full = [k for k, x in enumerate(sets) if len(x)]
             signatures: list[bytes | None] = [None] * len(sets)
             if full:
@@ -96,20 +95,21 @@ def sketch(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
                 minima = (minima >> np.uint64(32)).astype("<u4")
                 for k, x in zip(full, minima, strict=True):
                     signatures[k] = x.tobytes()
-            digests = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())], schema=form)
 
-        ids, sets, held = [], [], 0
+        ids, sets, digests, held = [], [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = normal_bytes(text.as_py() or "")
                 ids.append(doc_id)
-                sets.append(text_set(text.as_py() or "", size))
+                sets.append(shingle_set(word_hashes(np.frombuffer(data, np.uint8))[0], size))
+                digests.append(hashlib.blake2b(data, digest_size=16).digest() if data else None)
                 held += len(sets[-1]) + 100
                 if held > _GATHER:
-                    yield rows(ids, sets)
-                    ids, sets, held = [], [], 0
+                    yield rows(ids, sets, digests)
+                    ids, sets, digests, held = [], [], [], 0
         if ids:
-            yield rows(ids, sets)
+            yield rows(ids, sets, digests)
 
     return run
 
@@ -207,7 +207,8 @@ def verify_cells(size: int, limits: list[tuple[int, int]], threshold: int) -> Ca
             alive = plausible(signature[i], signature[j], limits)
             i, j = i[alive], j[alive]
             likely = np.argsort(-(signature[i] == signature[j]).sum(axis=1), kind="stable")
-            sets: dict[int, np.ndarray] = {}
+            wanted = np.unique(np.concatenate([i, j])).tolist()
+            sets = dict(zip(wanted, numbered_shingles([text[k].as_py() or "" for k in wanted], size), strict=True))
             head: dict[int, int] = {}
             links = []
 
@@ -220,12 +221,7 @@ def verify_cells(size: int, limits: list[tuple[int, int]], threshold: int) -> Ca
                 p, q = top(int(label[x])), top(int(label[y]))
                 if p == q:
                     continue
-                for k in (x, y):
-                    if k not in sets:
-                        sets[k] = text_set(text[k].as_py() or "", size)
-                u, v = sets[x], sets[y]
-                common = len(np.intersect1d(u, v, assume_unique=True))
-                if 100 * common >= threshold * (len(u) + len(v) - common):
+                if linked(sets[x], sets[y], threshold):
                     head[max(p, q)] = min(p, q)
                     links.append((int(ids[x]), int(ids[y])))
             if links:
@@ -234,28 +230,41 @@ def verify_cells(size: int, limits: list[tuple[int, int]], threshold: int) -> Ca
     return run
 
 
+def linked(u: np.ndarray, v: np.ndarray, threshold: int) -> bool:
+    """Whether two sets without repetitions are similar enough."""
+    if threshold * max(len(u), len(v)) > 100 * min(len(u), len(v)):
+        return False
+    common = len(np.intersect1d(u, v, assume_unique=True))
+    return 100 * common >= threshold * (len(u) + len(v) - common)
+
+
 def verify_sets(size: int, threshold: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Links (a, b) among rows (a, part, b, text) sorted by a and part; the hub's text comes first, with a null b."""
     form = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, []
+        hub, own, others, held = None, [], [], 0
+
+        def links() -> pa.RecordBatch:
+            """Of the partners gathered so far, those of which some text links with one of the hub's."""
+            sets = numbered_shingles([*own, *(text for _, text in others)], size)
+            found = [b for (b, _), members in zip(others, sets[len(own) :], strict=True) if any(linked(x, members, threshold) for x in sets[: len(own)])]
+            return pa.RecordBatch.from_arrays([pa.array([hub[0]] * len(found), pa.int64()), pa.array(found, pa.int64())], schema=form)
+
         for batch in batches:
-            a_list, b_list = [], []
             for a, part, b, text in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b")), batch.column("text"), strict=True):
-                members = text_set(text.as_py() or "", size)
+                if others and (hub != (a, part) or held > _HELD_CHARS):
+                    yield links()
+                    others, held = [], 0
+                if hub != (a, part):
+                    hub, own = (a, part), []
                 if b is None:
-                    own = [*own, members] if hub == (a, part) else [members]
-                    hub = (a, part)
-                    continue
-                for x in own if hub == (a, part) else []:
-                    if threshold * max(len(x), len(members)) <= 100 * min(len(x), len(members)):
-                        common = len(np.intersect1d(x, members, assume_unique=True))
-                        if 100 * common >= threshold * (len(x) + len(members) - common):
-                            a_list.append(a)
-                            b_list.append(b)
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(a_list, pa.int64()), pa.array(b_list, pa.int64())], schema=form)
+                    own.append(text.as_py() or "")
+                else:
+                    others.append((b, text.as_py() or ""))
+                    held += len(others[-1][1])
+        if others:
+            yield links()
 
     return run
 
@@ -296,8 +305,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with one doc_id count as one document that has the links of each. A null doc_id is linked with
     nothing: its component is null and the row is kept. An empty table gives no rows; other columns are ignored.
 
-    Sets are of 64-bit hashes. At a similarity of 0.75 all 32 bands miss a link with a chance of 5e-6, and each of the eight
-    batches with one of about `miss`.
+    Candidates are found by 64-bit hashes of shingles, of which n_shingles is the number; links are confirmed on the words themselves,
+    and only documents with the same words in the same order (by a 128-bit digest of all of them) count as equal unseen. Long texts
+    are taken whole. At a similarity of 0.75 all 32 bands miss a link with a chance of 5e-6, and each of the eight batches with one of about `miss`.
     """
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     docs = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
@@ -311,11 +321,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = bands.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
     members = written(bands.join(written(heads, folder, "heads"), ["band", "key"]).where("id > head").select("band", "key", "head", "m", "id"), folder, "members")
 
+    discard(spark, folder, "bands", "heads")
     stars = written(members.select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), folder, "stars")
     of = classes.select("id", "n", "signature")
     for end in "ab":
         stars = stars.join(of.select(F.col("id").alias(end), F.col("n").alias(f"size_{end}"), F.col("signature").alias(f"signature_{end}")), end)
     survivors = written(stars.mapInArrow(compare_pairs(limits, threshold), "a long, b long, size_b long"), folder, "survivors-1")
+    discard(spark, folder, "stars")
     links = written(verified(survivors, docs, size, threshold), folder, "links-1")
     labels = components(links, folder, "labels-1")
 
@@ -331,6 +343,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not joined.isEmpty():
         links = written(links.union(joined), folder, "links-12")
         labels = components(links, folder, "labels-2")
+    discard(spark, folder, "survivors-1", "mixed-1", "kin", "mixed-kin")
 
     labelled = members.where("m > 2").join(labels, "id", "left").join(family, "id", "left")
     labelled = written(labelled.select("band", "key", "id", "m", F.coalesce("label", "id").alias("label"), F.coalesce("family", "id").alias("family")), folder, "labelled")
@@ -344,6 +357,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(written(links.union(more), folder, "links-123"), folder, "labels-3")
 
     found = written(classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component")), folder, "found")
+    discard(spark, folder, "classes", "members", "families", "labelled", "mixed-2", "survivors-2", *(f"{name}-{k}" for name in ("links", "labels") for k in (1, 12, 123, 2, 3)))
     rows = sketches.select("id", "n", "digest").join(found, "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     rows = rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"))
