@@ -1,7 +1,8 @@
 """Personal data: patterns of well-known forms, and a character tagger that adds what they miss.
 
-Every kind's span holds a digit or an @, so only windows with one of those are decoded; elsewhere nothing could be reported.
-Windows overlap by half, and the spans of all windows of a text are reconciled at once: the set without overlaps whose scores add up highest.
+Every kind's span holds a digit, an @ or the word "at", so only windows with one of those are decoded; elsewhere no span of any kind
+can be. Windows overlap by half, and the spans of all windows of a text are reconciled at once: the set without overlaps whose scores
+add up highest. A span's score is what the best path gains over the same path with the span's characters outside: never negative.
 """
 
 from __future__ import annotations
@@ -22,9 +23,14 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
-#: Characters of a window and between the starts of windows; windows that are decoded at once; score of a character from which a span counts.
-WINDOW, STRIDE, AT_ONCE, LEAST_SCORE = 64, 32, 512, 3.0
+_TRIGGER = re.compile(r"[0-9@]|(?<![A-Za-z])(?:at|AT)(?![A-Za-z])")
+#: Characters of a window and between the starts of windows; windows that are decoded at once.
+WINDOW, STRIDE, AT_ONCE = 64, 32, 512
+#: What may stand for the @ and the dots of an address.
+_AT, _DOT = r"(?:\x20?@\x20?|\x20?[(\[](?:at|AT)[)\]]\x20?|\x20(?:at|AT)\x20)", r"(?:\.|\x20?[(\[](?:dot|DOT)[)\]]\x20?|\x20(?:dot|DOT)\x20)"
+_ADDRESS = re.compile(rf"[\w%+-]+(?:(?:\.|{_DOT})[\w%+-]+)*{_AT}[\w-]+(?:{_DOT}[\w-]+)*")
+_SPACED_IP = re.compile(r"[0-9]{1,3}(\x20?\.\x20?[0-9]{1,3}){3}")
+_NUMBER = re.compile(r"\+?\(?[0-9][0-9().\x20/-]+[0-9]")
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 
@@ -62,15 +68,16 @@ def base_spans(text: str) -> list[Span]:
 
 
 def plausible(kind: str, text: str) -> bool:
-    """What a span of the tagger must hold to be added."""
+    """What a span of the tagger must hold to be added: the parts that make it one of its kind."""
     digits = _digits(text)
     if kind == "email":
-        return "@" in text and re.fullmatch(r"[\w.%+-]+\x20?@\x20?[\w-]+(\.[\w-]+)*", text) is not None
+        found = _ADDRESS.fullmatch(text)
+        return found is not None and ("@" in text or re.search(_DOT, text) is not None)
     if kind == "ip":
-        return text.count(".") == 3 and fits("ip", text.replace(" ", "")) if re.fullmatch(r"[0-9]{1,3}(\x20?\.\x20?[0-9]{1,3}){3}", text) else False
+        return _SPACED_IP.fullmatch(text) is not None and fits("ip", text.replace(" ", ""))
     if kind == "card":
         return 14 <= len(digits) <= 19 and luhn(digits)
-    return 10 <= len(digits) <= 15 and len(re.findall(r"[().\x20-]", text)) >= 2 and re.fullmatch(r"\+?\(?[0-9][0-9().\x20-]+[0-9]", text) is not None
+    return 10 <= len(digits) <= 15 and _NUMBER.fullmatch(text) is not None and re.search(r"[().\x20/-]", text) is not None
 
 
 def labelled_spans(count: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -83,19 +90,22 @@ def labelled_spans(count: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
     def card() -> str:
         digits = number(15, 15)
         digits += next(c for c in "0123456789" if luhn(digits + c))
-        return rng.choice(["", " ", "-", "."]).join(digits[k : k + 4] for k in range(0, 16, 4))
+        return rng.choice(["", " ", "-", ".", "."]).join(digits[k : k + 4] for k in range(0, 16, 4))
 
     def phone() -> str:
         a, b, c = number(3, 3), number(3, 3), number(4, 4)
-        sep = rng.choice("- .")
-        return rng.choice([f"+{number(1, 2)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}{sep}{b}{sep}{c}", f"+{number(1, 2)}{sep}{a}{sep}{b}{sep}{c}"])
+        sep = rng.choice("- ./")
+        return rng.choice([f"+{number(1, 2)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}{sep}{b}{sep}{c}", f"{a}{sep}{b}{sep}{c}", f"+{number(1, 2)}{sep}{a}{sep}{b}{sep}{c}"])
 
     def email() -> str:
-        user = rng.choice([number(1, 4), re.sub(r"[^a-z]", "", word()) or "x"]) + rng.choice(["", ".", "_"]) + rng.choice(["", number(1, 3), "an"])
-        return f"{user.strip('._') or 'x'}@{rng.choice(['mail', 'post', 'host', 'box'])}{number(0, 2)}.{rng.choice(['example.com', 'example.org', 'net', 'test'])}"
-
-    ip = lambda: ".".join(str(rng.randrange(256)) for _ in range(4))
-    plain = [lambda: number(1, 8), lambda: number(16, 16), lambda: f"{number(1, 3)}.{number(1, 2)}", lambda: f"{number(4, 4)}-{number(2, 2)}-{number(2, 2)}", lambda: f"{number(2, 2)}:{number(2, 2)}", lambda: "%x" % rng.getrandbits(128), lambda: f"v{number(1, 1)}.{number(1, 2)}.{number(1, 2)}", lambda: f"@{word()}", lambda: f"{number(2, 3)}%", lambda: f"{number(3, 3)}-{number(2, 4)}"]
+        name = lambda: re.sub(r"[^a-z]", "", word()) or "x"
+        user = rng.choice([number(1, 4), name(), name()]) + rng.choice(["", ".", ".", "_"]) + rng.choice(["", number(1, 3), "an", name(), name()])
+        host = [rng.choice(["mail", "post", "host", "box", name()]) + number(0, 2), *rng.choice(["example.com", "example.org", "net", "test", "org"]).split(".")]
+        at, dot = rng.choice([("@", "."), ("@", "."), (" @ ", "."), (" at ", " dot "), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", ".")])
+        return (user.strip("._") or "x").replace(".", dot if rng.random() < 0.5 else ".") + at + dot.join(host)
+
+    ip = lambda: rng.choice([".", ".", " . "]).join(str(rng.randrange(256)) for _ in range(4))
+    plain = [lambda: number(1, 8), lambda: number(16, 16), lambda: f"{number(1, 3)}.{number(1, 2)}", lambda: f"{number(4, 4)}-{number(2, 2)}-{number(2, 2)}", lambda: f"{number(2, 2)}:{number(2, 2)}", lambda: "%x" % rng.getrandbits(128), lambda: f"v{number(1, 1)}.{number(1, 2)}.{number(1, 2)}", lambda: f"@{word()}", lambda: f"{number(2, 3)}%", lambda: f"{number(3, 3)}-{number(2, 4)}", lambda: f"{word()} at {word()}", lambda: f"{word()} at {number(1, 2)}", lambda: rng.choice("abcx") * rng.randint(5, 40)]
     kinds = {"email": email, "ip": ip, "card": card, "phone": phone}
     out = []
     for _ in range(count):
@@ -125,13 +135,13 @@ def windows_to_arrays(windows: list[tuple[str, list[Span]]]) -> tuple[np.ndarray
 
 
 @functools.lru_cache(maxsize=1)
-def trained(windows: int = 3000, steps: int = 400) -> Tagger:
-    return fit(*windows_to_arrays(labelled_spans(windows)), TAGS, steps=steps)
+def trained(windows: int = 5000, steps: int = 450) -> Tagger:
+    return fit(*windows_to_arrays(labelled_spans(windows)), TAGS, hidden=20, steps=steps)
 
 
-def window_spans(path: np.ndarray, emissions: np.ndarray, starts: list[int], ends: list[int]) -> list[tuple[float, str, int, int]]:
+def window_spans(path: np.ndarray, emissions: np.ndarray, model: Tagger, starts: list[int], ends: list[int]) -> list[tuple[float, str, int, int]]:
     """(score, kind, start, end) of all windows' spans in text positions; a span that touches a cut edge has half its score."""
-    out = []
+    steps, out = model.p["transitions"], []
     for row in np.flatnonzero(path.any(axis=1)).tolist():
         tags, t = path[row], 0
         while t < WINDOW:
@@ -142,11 +152,13 @@ def window_spans(path: np.ndarray, emissions: np.ndarray, starts: list[int], end
             t += 1
             while t < WINDOW and tags[t] == 2 + 2 * kind:
                 t += 1
-            gain = float((emissions[row, np.arange(first, t), tags[first:t]] - emissions[row, first:t, 0]).sum())
+            gain = (emissions[row, np.arange(first, t), tags[first:t]] - emissions[row, first:t, 0]).sum() + (steps[tags[first : t - 1], tags[first + 1 : t]] - steps[0, 0]).sum()
+            gain += steps[tags[first - 1], tags[first]] - steps[tags[first - 1], 0] if first else model.p["first"][tags[first]] - model.p["first"][0]
+            gain += steps[tags[t - 1], tags[t]] - steps[0, tags[t]] if t < WINDOW else model.p["last"][tags[t - 1]] - model.p["last"][0]
             a, b = starts[row] + first, min(starts[row] + t, ends[row])
-            if b > a and gain >= LEAST_SCORE * (t - first):
+            if b > a:
                 cut = (first == 0 and starts[row] > 0) or (t == WINDOW and starts[row] + WINDOW < ends[row])
-                out.append((gain / 2 if cut else gain, KINDS[kind], a, b))
+                out.append((float(gain) / 2 if cut else float(gain), KINDS[kind], a, b))
     return out
 
 
@@ -169,7 +181,7 @@ def reconciled(spans: list[tuple[float, str, int, int]]) -> list[Span]:
 
 
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
-    """Each text's reconciled spans."""
+    """Each text's reconciled spans; what can't be of its kind takes no part."""
     rows = []
     for n, text in enumerate(texts):
         own = sorted({s for m in _TRIGGER.finditer(text) for s in (m.start() // STRIDE * STRIDE, m.start() // STRIDE * STRIDE - STRIDE) if s >= 0})
@@ -184,7 +196,8 @@ def tagged_spans(texts: list[str], model: Tagger) -> list[list[Span]]:
         path, emissions = model.decode(ids)
         for k, (n, s) in enumerate(part):
             if path[k].any():
-                found[n] += window_spans(path[k : k + 1], emissions[k : k + 1], [s], [len(texts[n])])
+                spans = window_spans(path[k : k + 1], emissions[k : k + 1], model, [s], [len(texts[n])])
+                found[n] += [x for x in spans if plausible(x[1], texts[n][x[2] : x[3]])]
     return [reconciled(x) if x else [] for x in found]
 
 
@@ -192,7 +205,7 @@ def find_personal_data(texts: list[str], model: Tagger) -> list[tuple[list[Span]
     out = []
     for text, tagged in zip(texts, tagged_spans(texts, model), strict=True):
         base = base_spans(text)
-        more = [s for s in tagged if plausible(s[0], text[s[1] : s[2]]) and not any(a < s[2] and s[1] < b for _, a, b in base)]
+        more = [s for s in tagged if not any(a < s[2] and s[1] < b for _, a, b in base)]
         out.append((base, more))
     return out
 
@@ -201,8 +214,8 @@ def scan_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row for each input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans and, if wanted, the masked text.
 
     Spans are in code points, ends exclusive. A null or empty text has none, and then base_sha256 is that of an empty string. Base spans of
-    different kinds may overlap; the tagger adds none that overlaps with a base span. Repeated rows give equal rows, an
-    empty table gives none; other columns are ignored. The tagger's few thousand weights are broadcast.
+    different kinds may overlap; the tagger adds none that overlaps with a base span. Texts of any length are scanned whole; of spans with
+    equal scores those that end first are taken. Repeated rows give equal rows, an empty table gives none; other columns are ignored. The tagger's few thousand weights are broadcast.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())
     return span_table(docs, lambda texts: find_personal_data(texts, model.value), KINDS, KINDS, id_col, text_col, mask)

@@ -14,12 +14,13 @@ BASE, KINDS = ("assign", "access", "hex"), ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")  # leftmost runs of 32 on: the same as all runs less the short ones
-#: Candidates for novelty, and what must stand within CONTEXT characters before one.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Candidates for novelty: whole runs of what isn't space, quote, bracket or separator; and what must stand within CONTEXT characters before one.
+_APART = r"\s\"'`<>(){}\[\],;:="
+_CANDIDATE = re.compile(rf"(?<![^{_APART}])[^{_APART}]{{8,}}={{0,2}}")
 _SENSITIVE = re.compile(r"key|secret|token|passw|passphrase|auth|cred|bearer|private|session|signature|pwd", re.IGNORECASE | re.ASCII)
 CONTEXT, AROUND = 48, 256
-#: Least bytes that a candidate adds for each of its characters.
-LEAST_NOVELTY = 0.65
+#: Least bytes that a candidate adds for each of its characters; and that one of fewer than SHORT characters does.
+LEAST_NOVELTY, SHORT_NOVELTY, SHORT = 0.65, 0.8, 12
 LEVEL = 13
 
 
@@ -72,16 +73,17 @@ def base_spans(text: str) -> list[Span]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
 
 
-def novel_spans(text: str, base: list[Span], least: float = LEAST_NOVELTY) -> list[Span]:
-    """Candidates of 12 characters or more apart from base spans, after a sensitive word, that compress badly."""
-    out = []
-    for m in _CANDIDATE.finditer(text):
-        word = m[0]
-        a, b = m.span()
-        if any(x < b and a < y for _, x, y in base) or not _SENSITIVE.search(text, max(0, a - CONTEXT), a):
-            continue
-        if novelty(text[max(0, a - AROUND) : a], word, text[b : b + AROUND]) >= least:
-            out.append(("novel", a, b))
+def novel_spans(text: str, base: list[Span], least: float = LEAST_NOVELTY, short: float = SHORT_NOVELTY) -> list[Span]:
+    """Candidates of 8 characters or more apart from base spans, after a sensitive word, that compress badly."""
+    out, at = [], 0
+    for word in _SENSITIVE.finditer(text):
+        at = max(at, word.end())
+        while (m := _CANDIDATE.search(text, at)) and m.start() <= word.end() + CONTEXT:
+            a, at = m.span()
+            if any(x < at and a < y for _, x, y in base):
+                continue
+            if novelty(text[max(0, a - AROUND) : a], m[0], text[at : at + AROUND]) >= (least if at - a >= SHORT else short):
+                out.append(("novel", a, at))
     return out
 
 
@@ -97,7 +99,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row for each input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans and, if wanted, the masked text.
 
     Spans are in code points, ends exclusive. A null or empty text has none, and then base_sha256 is that of an empty string. Spans of
-    different base kinds may overlap; novel ones overlap with no base span. Repeated rows give equal rows, an empty
-    table gives none; other columns are ignored.
+    different base kinds may overlap; novel ones overlap with no base span nor each other. Texts of any length are scanned whole.
+    Repeated rows give equal rows, an empty table gives none; other columns are ignored.
     """
     return span_table(docs, find_secrets, BASE, KINDS, id_col, text_col, mask)

@@ -24,11 +24,6 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 @dataclasses.dataclass
 class Tagger:
     """p: for each direction d in "fb" the tables x<d> (symbol to gates) and h<d>; out, bias; transitions, first, last."""
@@ -48,27 +43,25 @@ class Tagger:
         p |= {"bias": np.zeros(tags, np.float32), "transitions": np.zeros((tags, tags), np.float32), "first": np.zeros(tags, np.float32), "last": np.zeros(tags, np.float32)}
         return cls(hidden, tags, p)
 
-    def _run(self, ids: np.ndarray, d: str, keep: list | None) -> np.ndarray:
+    def emissions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """Both directions run at once, the second over the symbols in reverse. keep gets what the gradients need."""
         n, length, hidden = *ids.shape, self.hidden
-        table, recurrent = self.p["x" + d], self.p["h" + d]
-        h = c = np.zeros((n, hidden), np.float32)
-        out = np.empty((n, length, hidden), np.float32)
-        for t in range(length) if d == "f" else range(length - 1, -1, -1):
-            z = table[ids[:, t]] + h @ recurrent
-            gate, new = _sigmoid(z[:, : 3 * hidden]), np.tanh(z[:, 3 * hidden :])
+        table, recurrent = np.stack([self.p["xf"], self.p["xb"]]), np.stack([self.p["hf"], self.p["hb"]])
+        turned, direction = np.stack([ids, ids[:, ::-1]]), np.arange(2)[:, None]
+        h = c = np.zeros((2, n, hidden), table.dtype)
+        out, steps = np.empty((2, length, n, hidden), table.dtype), []
+        for t in range(length):
+            z = table[direction, turned[:, :, t]] + h @ recurrent
+            gate, new = _sigmoid(z[:, :, : 3 * hidden]), np.tanh(z[:, :, 3 * hidden :])
             before, h0 = c, h
-            c = gate[:, hidden : 2 * hidden] * c + gate[:, :hidden] * new
+            c = gate[:, :, hidden : 2 * hidden] * c + gate[:, :, :hidden] * new
             top = np.tanh(c)
-            h = out[:, t] = gate[:, 2 * hidden :] * top
+            h = out[:, t] = gate[:, :, 2 * hidden :] * top
             if keep is not None:
-                keep.append((t, gate, new, before, top, h0))
-        return out
-
-    def emissions(self, ids: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        parts = [self._run(ids, d, None if keep is None else keep.setdefault(d, [])) for d in "fb"]
-        both = np.concatenate(parts, axis=2)
+                steps.append((gate, new, before, top, h0))
+        both = np.concatenate([out[0], out[1, ::-1]], axis=2).transpose(1, 0, 2)
         if keep is not None:
-            keep["both"] = both
+            keep |= {"both": both, "steps": steps, "recurrent": recurrent}
         return both @ self.p["out"] + self.p["bias"]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,37 +87,43 @@ class Tagger:
         e = self.emissions(ids, keep).astype(np.float64)
         n, length, k = e.shape
         trans, first, last = (self.p[x].astype(np.float64) for x in ("transitions", "first", "last"))
-        alpha, beta = np.empty((length, n, k)), np.empty((length, n, k))
-        alpha[0], beta[-1] = first + e[:, 0], last
-        for t in range(1, length):
-            alpha[t] = _logsumexp(alpha[t - 1][:, :, None] + trans, 1) + e[:, t]
+        # forward and backward sums of products, scaled at each place so that they stay near 1
+        high, steps = e.max(axis=2), np.exp(trans)
+        weight = np.exp(e - high[:, :, None]).transpose(1, 0, 2)
+        alpha, beta, scale = np.empty((length, n, k)), np.empty((length, n, k)), np.empty((length, n, 1))
+        for t in range(length):
+            alpha[t] = weight[t] * (alpha[t - 1] @ steps if t else np.exp(first))
+            scale[t] = alpha[t].sum(axis=1, keepdims=True)
+            alpha[t] /= scale[t]
+        end = (alpha[-1] * np.exp(last)).sum(axis=1, keepdims=True)
+        beta[-1] = np.exp(last) / end
         for t in range(length - 2, -1, -1):
-            beta[t] = _logsumexp(trans + (e[:, t + 1] + beta[t + 1])[:, None, :], 2)
-        total = _logsumexp(alpha[-1] + last, 1)
+            beta[t] = (weight[t + 1] * beta[t + 1] / scale[t + 1]) @ steps.T
+        total = np.log(scale).sum(axis=(0, 2)) + np.log(end[:, 0]) + high.sum(axis=1)
         rows = np.arange(n)
         gold = first[tags[:, 0]] + last[tags[:, -1]] + e[rows[:, None], np.arange(length), tags].sum(axis=1) + trans[tags[:, :-1], tags[:, 1:]].sum(axis=1)
-        marginal = np.exp(alpha + beta - total[:, None]).transpose(1, 0, 2)
-        expected = np.zeros((k, k))
-        for t in range(1, length):
-            expected += np.exp(alpha[t - 1][:, :, None] + trans + (e[:, t] + beta[t])[:, None, :] - total[:, None, None]).sum(axis=0)
+        marginal = (alpha * beta).transpose(1, 0, 2)
+        expected = steps * (alpha[:-1].reshape(-1, k).T @ (weight[1:] * beta[1:] / scale[1:]).reshape(-1, k))
         seen = np.eye(k)[tags]
         np.subtract.at(expected, (tags[:, :-1], tags[:, 1:]), 1)
         de = ((marginal - seen) / n).astype(np.float32)
         g = {"transitions": expected / n, "first": (marginal[:, 0] - seen[:, 0]).mean(axis=0), "last": (marginal[:, -1] - seen[:, -1]).mean(axis=0), "bias": de.sum(axis=(0, 1))}
         g["out"] = np.tensordot(keep["both"], de, axes=([0, 1], [0, 1]))
-        dboth, hidden = de @ self.p["out"].T, self.hidden
-        for d, part in (("f", dboth[:, :, :hidden]), ("b", dboth[:, :, hidden:])):
-            recurrent, dh, dc = self.p["h" + d], np.zeros((n, hidden), np.float32), np.zeros((n, hidden), np.float32)
-            dx, dr = np.zeros_like(self.p["x" + d]), np.zeros_like(recurrent)
-            for t, gate, new, before, top, h0 in reversed(keep[d]):
-                i, f, o = gate[:, :hidden], gate[:, hidden : 2 * hidden], gate[:, 2 * hidden :]
-                dh = dh + part[:, t]
-                dc = dc + dh * o * (1 - top * top)
-                dz = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), dh * top * o * (1 - o), dc * i * (1 - new * new)], axis=1)
-                np.add.at(dx, ids[:, t], dz)
-                dr += h0.T @ dz
-                dh, dc = dz @ recurrent.T, dc * f
-            g["x" + d], g["h" + d] = dx, dr
+        dboth, hidden = (de @ self.p["out"].T).transpose(1, 0, 2), self.hidden
+        part, recurrent = np.stack([dboth[:, :, :hidden], dboth[::-1, :, hidden:]]), keep["recurrent"]
+        dh = dc = np.zeros((2, n, hidden), recurrent.dtype)
+        dzs, h0s = np.empty((2, length, n, 4 * hidden), recurrent.dtype), np.empty((2, length, n, hidden), recurrent.dtype)
+        for t in range(length - 1, -1, -1):
+            gate, new, before, top, h0s[:, t] = keep["steps"][t]
+            i, f, o = gate[:, :, :hidden], gate[:, :, hidden : 2 * hidden], gate[:, :, 2 * hidden :]
+            dh = dh + part[:, t]
+            dc = dc + dh * o * (1 - top * top)
+            dz = dzs[:, t] = np.concatenate([dc * new * i * (1 - i), dc * before * f * (1 - f), dh * top * o * (1 - o), dc * i * (1 - new * new)], axis=2)
+            dh, dc = dz @ recurrent.transpose(0, 2, 1), dc * f
+        symbols = np.eye(SYMBOLS, dtype=np.float32)[ids.T].reshape(n * length, SYMBOLS)
+        for k, d in enumerate("fb"):
+            g["x" + d] = symbols.T @ dzs[k, :: 1 - 2 * k].reshape(n * length, -1)
+            g["h" + d] = h0s[k].reshape(n * length, -1).T @ dzs[k].reshape(n * length, -1)
         return float((total - gold).mean()), g
 
 
