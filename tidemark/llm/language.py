@@ -16,7 +16,8 @@ from tidemark.llm.common import pick
 SIZES, BITS = (1, 2, 3), 15
 #: Labelled documents that training reads at most, about; chosen by a hash of doc_id, by language.
 TRAIN_ROWS = 20_000
-PIECE = 1 << 20
+#: Characters that are worked off at a time.
+PIECE = 1 << 18
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -53,11 +54,11 @@ WIDTH = len(SIZES) << BITS
 
 
 def pieces(text: str) -> Iterator[tuple[np.ndarray, int]]:
-    """A long text's code points in pieces, each with the following places that n-grams reach into, and its own length."""
+    """A long text's code points in pieces, each with the following places that n-grams reach into, and its own length. Spaces follow a text."""
+    reach = max(SIZES) - 1
     for at in range(0, len(text), PIECE):
-        own = text[at : at + PIECE]
-        points = codes(own)
-        yield np.concatenate([points, codes(text[at + PIECE : at + PIECE + max(SIZES) - 1])]), len(points)
+        own, after = codes(text[at : at + PIECE]), codes(text[at + PIECE : at + PIECE + reach])
+        yield np.concatenate([own, after, np.full(max(0, reach - len(after)), 32, np.uint32)]), len(own)
 
 
 def gram_counts(text: str) -> np.ndarray:
@@ -78,41 +79,43 @@ class LanguageModel:
     prior: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and its posterior by the mean log-likelihood of a letter's n-grams, spread over 20 letters."""
+        """The language of the highest posterior; and its score, the posterior that 20 letters with the text's mean log-likelihood would have."""
         found, scores = ["und"] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return found, scores
         sums, sizes = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
-        gathered: list[tuple[int, np.ndarray]] = []
+        gathered: list[tuple[int, np.ndarray, int]] = []
         held = 0
 
         def work_off() -> None:
             nonlocal held
             if not gathered:
                 return
-            at = np.cumsum([0, *(len(x) + 2 for _, x in gathered)])
-            points = np.full(at[-1], 32, np.uint32)  # two spaces between texts
-            for (_, x), p in zip(gathered, at, strict=False):
-                points[p : p + len(x)] = x
-            rows = [i for i, _ in gathered]
+            rows, points = [i for i, _, _ in gathered], np.concatenate([x for _, x, _ in gathered])
+            ends = np.cumsum([len(x) for _, x, _ in gathered])
+            starts = ends - [len(x) for _, x, _ in gathered]
+            begun = np.zeros(len(points) + 1, np.int8)  # n-grams begin at a piece's own places
+            begun[starts] += 1
+            begun[starts + [n for _, _, n in gathered]] -= 1
+            own = np.cumsum(begun[:-1], dtype=np.int8).view(bool)
             for k, bucket in gram_buckets(points):
-                wanted = np.concatenate([bucket, np.full(k - 1, -1, np.int32)])
-                np.add.at(sums, rows, np.add.reduceat(self.log_probability[wanted], at[:-1], axis=0))
-            np.add.at(sizes, rows, np.add.reduceat((points != 32).astype(np.int64), at[:-1]))
+                wanted = np.where(own, np.concatenate([bucket, np.full(k - 1, -1, np.int32)]), -1)
+                np.add.at(sums, rows, np.add.reduceat(self.log_probability[wanted], starts, axis=0))
+            np.add.at(sizes, rows, np.add.reduceat((own & (points != 32)).astype(np.int64), starts))
             gathered.clear()
             held = 0
 
         for i, text in enumerate(texts):
-            for points, _ in pieces(text or ""):
-                gathered.append((i, points))
+            for points, own in pieces(text or ""):
+                gathered.append((i, points, own))
                 held += len(points)
                 if held >= PIECE:
                     work_off()
         work_off()
         for i in np.flatnonzero(sizes):
+            best = int((sums[i] + self.prior).argmax())  # the first of equals
             value = sums[i] * min(1.0, 20 / sizes[i]) + self.prior
             weight = np.exp(value - value.max())
-            best = int(value.argmax())  # the first of equals
             found[i], scores[i] = self.langs[best], float(weight[best] / weight.sum())
         return found, scores
 

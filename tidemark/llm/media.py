@@ -16,22 +16,39 @@ from tidemark.llm.common import pick, work_folder, written
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHUNK = 1 << 20
+#: Lines of an image that are filtered at a time.
+LINES = 4096
 
 
 def chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def write_png(samples: np.ndarray, level: int = 6, filters: int = 0) -> bytes:
-    """An 8-bit grey PNG of a (height, width) array; filters: 0 for none, 1 for left, 2 for up, on all lines."""
+def filtered_lines(samples: np.ndarray, filters: int | None = None) -> np.ndarray:
+    """(height, 1 + width) lines: 0 as they are, 1 less the sample to the left, 2 less the one above.
+
+    Without a wish each line gets the filter with the least sum of absolute differences, as the format advises; of equals the first.
+    """
+    height, width = samples.shape
+    lines = np.empty((height, width + 1), np.uint8)
+    for at in range(0, height, LINES):
+        part = samples[at : at + LINES]
+        ways = np.zeros((3, len(part), width), np.uint8)
+        ways[:] = part
+        ways[1, :, 1:] -= part[:, :-1]
+        ways[2, 1:] -= part[:-1]
+        if at:
+            ways[2, 0] -= samples[at - 1]
+        kinds = np.abs(ways.view(np.int8).astype(np.int16)).sum(axis=2, dtype=np.int64).argmin(axis=0) if filters is None else np.full(len(part), filters)
+        lines[at : at + len(part), 0] = kinds
+        lines[at : at + len(part), 1:] = ways[kinds, np.arange(len(part))]
+    return lines
+
+
+def write_png(samples: np.ndarray, level: int = 6, filters: int | None = 0) -> bytes:
+    """An 8-bit grey PNG of a (height, width) array; filters: 0 for none, 1 for left, 2 for up, on all lines; None chooses by line."""
     height, width = samples.shape
-    lines = np.zeros((height, width + 1), np.uint8)
-    lines[:, 0] = filters
-    lines[:, 1:] = samples
-    if filters == 1:
-        lines[:, 2:] -= samples[:, :-1]
-    elif filters == 2:
-        lines[1:, 1:] -= samples[:-1]
+    lines = filtered_lines(samples, filters)
     press, parts = zlib.compressobj(level), [SIGNATURE, chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0))]
     flat = memoryview(lines.reshape(-1))
     for at in range(0, len(flat), CHUNK):
@@ -41,42 +58,40 @@ def write_png(samples: np.ndarray, level: int = 6, filters: int = 0) -> bytes:
     return b"".join(parts)
 
 
-def _paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _predicted(kinds: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What each line's filter foretells from the samples to the left, above, and above to the left."""
     p = a + b - c
     da, db, dc = abs(p - a), abs(p - b), abs(p - c)
-    return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+    paeth = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+    return np.choose(kinds, (np.zeros_like(a), a, b, (a + b) >> 1, paeth))
 
 
 def unfilter(lines: np.ndarray) -> np.ndarray:
-    """The samples of (height, 1 + width) filtered lines of one byte a pixel."""
+    """The samples of (height, 1 + width) filtered lines of one byte a pixel.
+
+    Lines of the first three filters are sums along a line or down a run of lines. With the others, a sample needs its neighbours to the left
+    and above, so that all samples of an antidiagonal are found at once.
+    """
     kinds, out = lines[:, 0], lines[:, 1:].copy()
     if kinds.size and kinds.max() > 4:
         raise ValueError("unknown line filter")
     if not kinds.any():
         return out
-    if (kinds == 1).all():
-        return np.cumsum(out, axis=1, dtype=np.uint8)
-    if (kinds == 2).all():
-        return np.cumsum(out, axis=0, dtype=np.uint8)
-    above = np.zeros(out.shape[1], np.uint8)
-    for y, kind in enumerate(kinds):
-        line = out[y]
-        if kind == 1:
-            line[:] = np.cumsum(line, dtype=np.uint8)
-        elif kind == 2:
-            line += above
-        elif kind == 3:
-            left = 0
-            for x in range(len(line)):
-                left = line[x] = (int(line[x]) + (left + int(above[x])) // 2) & 255
-        elif kind == 4:
-            left = corner = 0
-            for x in range(len(line)):
-                up = int(above[x])
-                left = line[x] = (int(line[x]) + int(_paeth(np.int64(left), np.int64(up), np.int64(corner)))) & 255
-                corner = up
-        above = line
-    return out
+    if kinds.max() <= 2:
+        left = kinds == 1
+        out[left] = np.cumsum(out[left], axis=1, dtype=np.uint8)
+        turns = np.flatnonzero(np.diff(np.concatenate([[0], kinds == 2, [0]]).astype(np.int8)))
+        for first, last in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+            before = max(0, first - 1)
+            out[before:last] = np.cumsum(out[before:last], axis=0, dtype=np.uint8)
+        return out
+    height, width = out.shape
+    known = np.zeros((height + 1, width + 1), np.int16)  # with a line above and a column to the left
+    for t in range(height + width - 1):
+        y = np.arange(max(0, t - width + 1), min(height, t + 1))
+        x = t - y
+        known[y + 1, x + 1] = (out[y, x] + _predicted(kinds[y], known[y + 1, x], known[y, x + 1], known[y, x])) & 255
+    return known[1:, 1:].astype(np.uint8)
 
 
 def read_png(data: bytes) -> np.ndarray:
@@ -146,7 +161,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in filter(len, batches):
             images = [to_samples(x if isinstance(x, str) else "") for x in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in images], "media": [write_png(x) for x, _ in images]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in images], "media": [write_png(x, filters=None) for x, _ in images]})
 
     return docs.mapInPandas(store, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
@@ -171,7 +186,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Store every text as a PNG in a table of the shared folder, then read that table back for its features.
 
     A null or empty text is one line of 192 spaces. Equal texts give equal bytes and features; repeated rows give
-    repeated rows; an empty table gives none; other columns are ignored. One text at a time is in memory besides its batch.
+    repeated rows; an empty table gives none; other columns are ignored. One text at a time is in memory besides its batch, whole
+    however long. Each line of an image has the filter that suits it best.
     """
     spark: SparkSession = docs.sparkSession
     return media_features(written(store_texts(docs, id_col, text_col), work_folder(spark), "media"))

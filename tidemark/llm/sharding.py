@@ -56,7 +56,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     """One row for each input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     The law is `key`: doc_id and the number of shards decide. Slots count a shard's rows from 0. The rows of a shard are
-    numbered in blocks of some BLOCK_ROWS, to which the blocks' first slots are added, so no task holds a whole shard.
+    numbered in blocks of some BLOCK_ROWS, to which the blocks' first slots are added, so no task holds a whole shard. Rows with
+    equal doc_id, size and checksum are numbered in the order of the written table; long texts are taken whole.
 
     A null or empty text has the size 8 and the checksum 0; a null doc_id goes where -1 goes. Repeated rows
     share a shard and have slots of their own. An empty table gives no rows; other columns are ignored.
@@ -73,9 +74,9 @@ def assign_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", tex
     sized = written(sized, folder, "sized")
     blocks = max(8, -(-sized.count() // (shards * BLOCK_ROWS)))
     dealt = sized.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks)).cast("int"))
-    counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n")).groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("block", "n"))).alias("of"))
-    before = F.aggregate(F.filter("of", lambda x: x["block"] < F.col("at")), F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    first = counts.select("shard", "of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at")).select("shard", F.col("at").alias("block"), before.alias("first"))
+    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("shard", "block").agg(F.count("*").alias("n"))
+    first = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     turn = Window.partitionBy("shard", "block").orderBy("doc_id", "size", "text_crc32", "row")
     numbered = dealt.withColumn("place", F.row_number().over(turn) - 1)
     return numbered.join(first, ["shard", "block"]).select(

@@ -92,6 +92,17 @@ def train(spark: SparkSession, urls: Sequence[tuple[str, int]] | None = None, bu
     return weights
 
 
+_FITTED: dict[tuple[str, int], list[float]] = {}
+
+
+def fitted(spark: SparkSession, buckets: int = BUCKETS) -> list[float]:
+    """The weights of the labelled urls, fitted once for each Spark application."""
+    key = (spark.sparkContext.applicationId, buckets)
+    if key not in _FITTED:
+        _FITTED[key] = train(spark, buckets=buckets)
+    return _FITTED[key]
+
+
 def rule_column(host: Column, path: Column, rules: Sequence[tuple[str, str]], value: int) -> Column:
     """The verdict (value 0) or the rule (1) of the longest rule that fits; null if none does."""
     out = []
@@ -107,10 +118,10 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
     The longest rule that fits decides, else the model: block from a probability of 0.5 on. A null url and one without `://`
     have an empty host and path and get the model's verdict for those. Repeated rows give equal rows; an empty table gives none; other
-    columns are ignored. The weights (one for each bucket) are a constant of the plan.
+    columns are ignored. A long url is taken whole. The weights (one for each bucket) are a constant of the plan.
     """
     pages = pick(pages, page_id=id_col, url=url_col)
-    weights = train(pages.sparkSession, buckets=buckets) if weights is None else list(weights)
+    weights = fitted(pages.sparkSession, buckets) if weights is None else list(weights)
     host, path = host_and_path(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     known = F.lit([float(w) for w in weights])
