@@ -204,3 +204,96 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["scan", str(root), "--fail-on-secret"]) == 3
     (root / config.FILE_NAME).write_text("[x]\n")
     assert cli.main(["scan", str(root)]) == 2
+
+
+def test_git_is_never_the_projects_own(tmp_path, monkeypatch):
+    real = git.git_binary(tmp_path)
+    if real is None:
+        pytest.skip("no git")
+    planted, link = tmp_path / "git", tmp_path.parent / "links"
+    planted.write_text("#!/bin/sh\nexit 1\n")
+    planted.chmod(0o755)
+    link.mkdir(exist_ok=True)
+    (link / "git").unlink(missing_ok=True)
+    (link / "git").symlink_to(planted)
+    import os
+
+    monkeypatch.setenv("PATH", os.pathsep.join([str(tmp_path), "relative", str(link), os.path.dirname(real)]))
+    assert git.git_binary(tmp_path) == os.path.realpath(real)
+
+
+def test_git_runs_apart(tmp_path, monkeypatch):
+    if git.git_binary(tmp_path) is None:
+        pytest.skip("no git")
+    _git(tmp_path, "init", "-q", "-b", "main")
+    (tmp_path / "a").write_text("a")
+    (tmp_path / "b").write_text("b")
+    given, before = [], subprocess.Popen
+    monkeypatch.setattr(git.subprocess, "Popen", lambda command, **more: given.append((command, more["env"])) or before(command, **more))
+    monkeypatch.setenv("GIT_DIR", "/nowhere")
+    assert git.file_list(tmp_path) == [b"a", b"b"]
+    assert all("protocol.allow=never" in command and env["GIT_NO_LAZY_FETCH"] == "1" and "GIT_DIR" not in env for command, env in given)
+    monkeypatch.setattr(git.V, "MOST_CANDIDATES", 1)
+    with pytest.raises(ScanError, match="too many"):
+        git.file_list(tmp_path)
+    monkeypatch.setattr(git, "MOST_OUTPUT", 1)
+    with pytest.raises(ScanError, match="too much"):
+        git.run_git(tmp_path, "ls-files", "--others")
+
+
+def test_packing_twice_gives_equal_bytes(spark, tmp_path, capsys):
+    """The archive that the first run leaves in a clean repository changes neither its state nor the second archive."""
+    if git.git_binary(tmp_path) is None:
+        pytest.skip("no git")
+    root = tmp_path / "proj"
+    root.mkdir()
+    (root / "a.py").write_text("x = 1\n")
+    _git(root, "init", "-q", "-b", "main")
+    _git(root, "add", "a.py")
+    _git(root, "commit", "-qm", "x")
+    out, seen = root / "out [1]!.zip", []
+    for more in ([], ["--force"]):
+        assert cli.main(["pack", str(root), "-o", str(out), "--json", *more]) == 0
+        seen.append(out.read_bytes())
+        with zipfile.ZipFile(out) as z:
+            assert json.loads(z.read("MANIFEST.json"))["project"]["git"]["dirty"] is False
+    assert seen[0] == seen[1] and git.git_info(root).dirty and not git.git_info(root, out.name).dirty
+
+
+def test_skipped_files_are_in_order(spark):
+    found = scan(frame(spark, {"b.png": b"x", "A.png": b"x", "z.bin": b"x", ".env": b"x", "c.txt": b"\xff\xfe\xfd"}), max_file_size=2000)
+    rows = [(r.reason, r.path) for r in found.skipped.collect()]
+    assert rows == sorted(rows, key=lambda x: (x[0], x[1].casefold())) and len(rows) == 5
+    found.release()
+
+
+def test_paths_in_the_jvm_and_in_python_agree(spark):
+    paths = ["a.py", "./a//b", "con.txt", "x:y", "é.md", "é.md", "end.", "k/AKIA" + "Z9" * 8, "api_key=" + "q7" * 9, "a\\b", "", "/", "..", "‮x", "x" * 300, "a\x07b", None, "ok/sk-proj-" + "a1" * 12 + "/x"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    from tidemark.functions.paths import portable_path
+    from tidemark.functions.redaction import redact
+    from tidemark.operators.scan import path_stage
+
+    rows = {r.path: r for r in path_stage(df).collect()}
+    for p in paths:
+        clean = None if p is None or "\\" in p else p.removeprefix("./").strip("/")
+        safe = portable_path(clean) if clean is not None else None
+        assert rows[p].safe_path == safe, p
+        assert (rows[p].path_counts or {}) == (redact(safe)[1] if safe else {}), p
+        assert (rows[p].path_reason == "unsafe_path") == (safe is None) and (rows[p].path_reason == "secret_in_path") == bool(safe and redact(safe)[1]), p
+
+
+def test_order_within_each_archive(spark):
+    from tidemark.plans.verify import out_of_order
+
+    rows = [("x", 0, "a"), ("x", 1, "c"), ("x", 2, "B"), ("y", 0, "b"), ("y", 1, "b"), ("y", 2, "c")]
+    found = out_of_order(spark.createDataFrame(rows, "archive string, n long, path string")).collect()
+    assert sorted((r.archive, r.path) for r in found) == [("x", "B"), ("y", "b")]
+
+
+def test_init_undoes_a_half_done_start(tmp_path, monkeypatch):
+    calls, before = [], cli.os.replace
+    monkeypatch.setattr(cli.os, "replace", lambda a, b: calls.append(b) or (before(a, b) if len(calls) == 1 else (_ for _ in ()).throw(OSError("full"))))
+    with pytest.raises(OSError):
+        cli.init(str(tmp_path), False)
+    assert list(tmp_path.iterdir()) == []

@@ -89,26 +89,29 @@ def scan_project(spark: SparkSession, path: str, config: Config | None = None, o
     root = git.locate_root(path)
     config = Config.load(root) if config is None else config
     config.assert_source_unchanged(root)
-    before = git.snapshot_token(root)
-    listed = git.file_list(root, config.include_untracked)
-    rules, token = load_rules(root, listed is None)
-    warnings = ["git was not at hand; .gitignore was followed as well as could be"] if listed is None else []
-    paths = walk(str(root)) if listed is None else listed
     relative = None
     if output is not None and Path(output).resolve().is_relative_to(root):
         relative = Path(output).resolve().relative_to(root).as_posix()
-        paths = [p for p in paths if os.fsdecode(p) != relative]
+    before = git.snapshot_token(root, relative)
+    listed = git.file_list(root, config.include_untracked)
+    rules, token = load_rules(root, listed is None)
+    warnings = ["git was not at hand; .gitignore was followed as well as could be"] if listed is None else []
+    paths = [p for p in (walk(str(root)) if listed is None else listed) if relative is None or os.fsdecode(p) != relative]
     tree = read_tree(spark, str(root), config.max_file_size, paths)
     # what isn't UTF-8 can't be a string; it is unsafe, whatever else it is
     text = F.when(F.is_valid_utf8(F.col("path_raw").cast("string")), F.col("path_raw").cast("string")).otherwise(F.concat(F.lit("\\"), F.hex("path_raw")))
     files = tree.select(text.alias("path"), "size", "kind", "content").persist()
     found = scan(files, config.max_file_size, config.max_total_size, config.max_files, rules, relative)
+    found.held += (files,)
     first = {r["path"]: r["sha256"] for r in found.files.select("path", "sha256").collect()}
     again = scan(tree.select(text.alias("path"), "size", "kind", "content"), config.max_file_size, config.max_total_size, config.max_files, rules, relative)
-    if first != {r["path"]: r["sha256"] for r in again.files.select("path", "sha256").collect()} or git.snapshot_token(root) != before or load_rules(root, listed is None)[1] != token:
+    second = {r["path"]: r["sha256"] for r in again.files.select("path", "sha256").collect()}
+    again.release()
+    if first != second or git.snapshot_token(root, relative) != before or load_rules(root, listed is None)[1] != token:
+        found.release()
         raise ScanError("the project changed while it was scanned")
     config.assert_source_unchanged(root)
-    return found, git.git_info(root), warnings, root
+    return found, git.git_info(root, relative), warnings, root
 
 
 def _payload(found: Scan) -> dict[str, Any]:
@@ -130,15 +133,19 @@ def init(path: str, force: bool) -> dict[str, Any]:
         if target.is_symlink() or (target.exists() and not (force and target.is_file())):
             raise TidemarkError(f"{target.name} exists; force is needed")
     before = {t: t.read_bytes() if t.exists() else None for t in targets}
+    staged: list[str] = []
     try:
         for target, text in targets.items():
             handle, name = tempfile.mkstemp(dir=root)
+            staged.append(name)
             with os.fdopen(handle, "w") as f:
                 f.write(text)
             os.replace(name, target)
     except OSError:
         for target, data in before.items():
             target.unlink(missing_ok=True) if data is None else target.write_bytes(data)
+        for name in staged:
+            Path(name).unlink(missing_ok=True)
         raise
     return {"created": sorted(TEMPLATES)}
 
@@ -156,13 +163,16 @@ def _run(args: argparse.Namespace) -> dict[str, Any]:
         name, counts = sanitized(root.name, 255)
         output = args.output or f"{'project' if counts else name}{V.ARCHIVE_SUFFIX}"
     found, info, warnings, root = scan_project(spark, args.path, config, output)
-    payload = _payload(found)
-    metadata = sum(n for text in (root.name, info.branch) for n in sanitized(text, 255)[1].values())
-    if args.fail_on_secret and payload["redactions"] + metadata:
-        raise SecretPolicyError("secrets were found")
-    if args.command == "scan":
-        return payload
-    done = build_archive(found, config, output, root.name, info, tuple(warnings), args.force)
+    try:
+        payload = _payload(found)
+        metadata = sum(n for text in (root.name, info.branch) for n in sanitized(text, 255)[1].values())
+        if args.fail_on_secret and payload["redactions"] + metadata:
+            raise SecretPolicyError("secrets were found")
+        if args.command == "scan":
+            return payload
+        done = build_archive(found, config, output, root.name, info, tuple(warnings), args.force)
+    finally:
+        found.release()
     return {"archive": str(done.path), "archive_bytes": done.archive_bytes, "archive_sha256": done.sha256, "redactions": done.redactions, "source_bytes": done.source_bytes, "source_files": done.source_files}
 
 

@@ -39,12 +39,13 @@ class Config:
 
     @classmethod
     def load(cls, root: str | os.PathLike) -> Config:
-        """From tidemark.toml in root, if there is one: a table [limits] and a table [scan], and nothing else."""
-        path = Path(root) / FILE_NAME
-        data = policy_bytes(path)
-        token = policy_token(data)
-        if data is None:
-            return cls(source_token=token)
+        """From tidemark.toml in root, if there is one."""
+        data = policy_bytes(Path(root) / FILE_NAME)
+        return dataclasses.replace(cls() if data is None else cls.parse(data), source_token=policy_token(data))
+
+    @classmethod
+    def parse(cls, data: bytes) -> Config:
+        """From the content of a tidemark.toml: a table [limits] and a table [scan], and nothing else."""
         try:
             told = tomllib.loads(data.decode("utf-8-sig"))
         except (UnicodeDecodeError, tomllib.TOMLDecodeError) as e:
@@ -55,7 +56,7 @@ class Config:
                 raise ConfigError(f"{FILE_NAME}: unknown table {table}")
             if extra := set(values) - known[table]:
                 raise ConfigError(f"{FILE_NAME}: unknown key {sorted(extra)[0]} in {table}")
-        return cls(**told.get("limits", {}), **told.get("scan", {}), source_token=token)
+        return cls(**told.get("limits", {}), **told.get("scan", {}))
 
     def assert_source_unchanged(self, root: str | os.PathLike) -> None:
         if self.source_token is not None and policy_token(policy_bytes(Path(root) / FILE_NAME)) != self.source_token:

@@ -45,11 +45,11 @@ AUTHORIZATION = r"(?i)['\"]?Authorization['\"]?\s*:\s*(?P<quote>['\"]?)(?P<schem
 URL = r"\b[a-zA-Z][a-zA-Z0-9+.-]{0,31}://(?P<user>[^/\s:@]{0,8192}):(?P<password>[^/\s@]{0,8192})@"
 DOCKER = r"(?i)['\"]auth['\"]\s*:\s*(?P<quote>['\"])(?P<value>[A-Za-z0-9+/]{4,}={0,2})(?P=quote)"
 XML = r"(?i)<(?:password|passwd)>\s*(?P<value>[^<\r\n]{1,})\s*</(?:password|passwd)>"
-DOUBLE_QUOTED = ASSIGNMENT + r'"(?P<value>(?>\\[^\r\n]|[^"\\\r\n]){1,})"'
-SINGLE_QUOTED = ASSIGNMENT + r"'(?P<value>(?>''|\\[^\r\n]|[^'\\\r\n]){1,})'"
-BARE = ASSIGNMENT + r"(?P<value>(?!['\"])[^\r\n]{1,})"
-TRIPLE_QUOTED = r"(?m)^[ \t]*" + ASSIGNMENT + r"(?P<fence>\"\"\"|''')"
-BLOCK_HEADER = r"(?P<indent>[ \t]*)" + ASSIGNMENT + r"[|>][0-9+-]{0,3}[ \t]*(?:#.*)?"
+DOUBLE_QUOTED = "(?i)" + ASSIGNMENT + r'"(?P<value>(?>\\[^\r\n]|[^"\\\r\n]){1,})"'
+SINGLE_QUOTED = "(?i)" + ASSIGNMENT + r"'(?P<value>(?>''|\\[^\r\n]|[^'\\\r\n]){1,})'"
+BARE = "(?i)" + ASSIGNMENT + r"(?P<value>(?!['\"])[^\r\n]{1,})"
+TRIPLE_QUOTED = r"(?im)^[ \t]*" + ASSIGNMENT + r"(?P<fence>\"\"\"|''')"
+BLOCK_HEADER = r"(?i)(?P<indent>[ \t]*)" + ASSIGNMENT + r"[|>][0-9+-]{0,3}[ \t]*(?:#.*)?"
 KEY_FILE_HEADER, KEY_FILE_BODY, KEY_FILE_COUNT = r"PuTTY-User-Key-File-[23]:[^\r\n]+", r"[A-Za-z0-9+/=]{4,}\r?\n?", r"Private-Lines:\s*([0-9]{1,6})"
 KEY_FILE_REACH, KEY_FILE_LINES = 200, 100_000
 PLACEHOLDERS = (

@@ -45,11 +45,16 @@ def _path_facts(paths: pd.Series) -> pd.DataFrame:
 def path_stage(files: DataFrame, rules: Sequence[Rule] = (), output: str | None = None) -> DataFrame:
     """files (path, ...) with safe_path, shown_path, path_reason and path_counts; the first reason that holds counts.
 
-    One call of Python finds both what Unicode tables and what the cascade say of a path; all else is native.
+    Paths of ASCII without anything that a detector looks for are decided in the JVM. For others, one call of Python finds both
+    what Unicode tables and what the cascade say of them.
     """
     files = files.withColumn("_clean", F.when(~F.col("path").contains("\\"), P.normalized(F.col("path"))))
-    files = files.withColumn("_facts", _path_facts(F.col("_clean")))
-    files = files.withColumn("safe_path", F.col("_facts.safe_path")).withColumn("path_counts", F.col("_facts.counts")).drop("_facts")
+    clean = F.col("_clean")
+    files = files.withColumn("_plain", clean.isNotNull() & ~clean.rlike(r"[^\x00-\x7F]") & ~clean.rlike(POSSIBLE))
+    files = files.withColumn("_facts", _path_facts(F.when(~F.col("_plain"), clean)))
+    nothing = F.create_map().cast("map<string,bigint>")
+    files = files.withColumn("safe_path", F.when(F.col("_plain"), F.when(P.is_portable_ascii(clean), clean)).otherwise(F.col("_facts.safe_path")))
+    files = files.withColumn("path_counts", F.when(F.col("_plain"), nothing).otherwise(F.col("_facts.counts"))).drop("_facts", "_plain")
     safe = F.col("safe_path")
     reason = (
         F.when(safe.isNull(), "unsafe_path")
@@ -105,12 +110,20 @@ def chosen_files(files: DataFrame, decided: DataFrame, max_files: int) -> DataFr
 
 @dataclasses.dataclass
 class Scan:
-    """files: selected ones (path, source_size, packed, packed_size, sha256, redactions); skipped: (path, reason)."""
+    """files: selected ones (path, source_size, packed, packed_size, sha256, redactions); skipped: (path, reason) in the order of both.
+
+    held: what is kept in memory for them until `release`.
+    """
 
     files: DataFrame
     skipped: DataFrame
     candidates: int
     path_counts: dict[str, int]
+    held: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.held:
+            df.unpersist()
 
 
 def scan(files: DataFrame, max_file_size: int = V.DEFAULT_FILE_BYTES, max_total_size: int = V.DEFAULT_TOTAL_BYTES, max_files: int = V.DEFAULT_FILES, rules: Sequence[Rule] = (), output: str | None = None, ceilings: bool = True) -> Scan:
@@ -134,8 +147,14 @@ def scan(files: DataFrame, max_file_size: int = V.DEFAULT_FILE_BYTES, max_total_
     # contents are joined to the decisions before they are redacted again, so that is done for selected files alone
     chosen = content_stage(chosen_files(safe, decided, max_files), max_file_size)
     skipped = staged.where("path_reason is not null").select(F.col("shown_path").alias("path"), F.col("path_reason").alias("reason")).unionByName(decided.where("reason is not null"))
+    skipped = skipped.orderBy(*skipped_order())
     counts = staged.where("path_reason = 'secret_in_path'").select(F.explode_outer("path_counts").alias("kind", "n")).where("kind is not null").groupBy("kind").agg(F.sum("n").alias("n"))
-    return Scan(chosen.select(F.col("safe_path").alias("path"), "source_size", "packed", "packed_size", "sha256", "redactions"), skipped, files.count(), {r["kind"]: r["n"] for r in counts.orderBy("kind").collect()})
+    return Scan(chosen.select(F.col("safe_path").alias("path"), "source_size", "packed", "packed_size", "sha256", "redactions"), skipped, files.count(), {r["kind"]: r["n"] for r in counts.orderBy("kind").collect()}, (decided,))
+
+
+def skipped_order() -> list[Column]:
+    """Skipped files (path, reason) are told by reason, then by path without regard to case."""
+    return [F.col("reason"), P.fold_key(F.col("path")), F.col("path")]
 
 
 def sanitized(text: str | None, most: int, marker: str = "[TRUNCATED]") -> tuple[str | None, dict[str, int]]:

@@ -9,7 +9,7 @@ import zipfile
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark import vocabulary as V
@@ -83,13 +83,12 @@ def wrong_hashes(records: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def out_of_order(entries: DataFrame) -> DataFrame:
-    """Entries (n, path) that come before the one ahead of them in the archive's order, and duplicates."""
-    from pyspark.sql import Window
-
-    keyed = entries.select("n", "path", F.struct(fold_key(F.col("path")).alias("fold"), "path").alias("key"))
-    # an archive has at most MOST_ENTRIES entries; those of several archives would be partitioned by archive
-    before = F.lag("key").over(Window.orderBy("n"))
-    return keyed.withColumn("before", before).where(F.col("key") <= F.col("before")).select("path", F.lit("entry.order").alias("check"), F.lit("out of order").alias("detail"))
+    """Entries (n, path) that come before the one ahead of them in the archive's order, and duplicates. Those of several archives have a column `archive`."""
+    own = [c for c in ("archive",) if c in entries.columns]
+    keyed = entries.select(*own, "n", "path", F.struct(fold_key(F.col("path")).alias("fold"), "path").alias("key"))
+    before = F.lag("key").over(Window.partitionBy(*own).orderBy("n"))  # an archive has at most MOST_ENTRIES entries
+    wrong = keyed.withColumn("before", before).where(F.col("key") <= F.col("before"))
+    return wrong.select(*own, "path", F.lit("entry.order").alias("check"), F.lit("out of order").alias("detail"))
 
 
 def total_violations(m: dict[str, Any]) -> list[Violation]:
