@@ -172,6 +172,16 @@ def sanitized(text: str | None, most: int, marker: str = "[TRUNCATED]") -> tuple
     return text, dict(sorted(counts.items()))
 
 
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.LongType()))]))
+def _sanitized(texts: pd.Series, most: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([sanitized(t, int(n)) for t, n in zip(texts, most, strict=True)], columns=["text", "counts"], dtype=object)
+
+
+def sanitized_with_counts(text: Column, most: int) -> Column:
+    """struct(text, counts) as `sanitized` gives it."""
+    return _sanitized(text, F.lit(most))
+
+
 def sanitized_column(text: Column, most: int, marker: str = "[TRUNCATED]") -> Column:
     """The text part of `sanitized` for texts without credentials, as an expression."""
     plain = F.regexp_replace(text, f"[\\p{{Cc}}\\p{{Cs}}{V.BIDI_CONTROLS}]", "�")

@@ -6,8 +6,10 @@ import json
 import re
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import __version__
 from tidemark import vocabulary as V
@@ -65,6 +67,19 @@ def parse(data: bytes) -> dict[str, Any]:
     return out
 
 
+@F.pandas_udf(T.BooleanType())
+def is_canonical(text: pd.Series) -> pd.Series:
+    """Whether a text is a manifest in its one form; null for null."""
+
+    def fine(x: str) -> bool:
+        try:
+            return parse(x.encode()) is not None
+        except VerificationError:
+            return False
+
+    return text.map(fine, na_action="ignore")
+
+
 _TEXT = re.compile(f"[^\\x00-\\x1f\\x7f-\\x9f\ud800-\udfff{V.BIDI_CONTROLS}]+")
 
 

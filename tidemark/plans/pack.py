@@ -4,18 +4,25 @@ from __future__ import annotations
 
 import dataclasses
 import hashlib
+import heapq
+import io
 import os
+import re
 import tempfile
 import zipfile
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from pathlib import Path
+from typing import IO, Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark import vocabulary as V
 from tidemark.config import Config
 from tidemark.errors import TidemarkError
-from tidemark.functions.redaction import PREFIX
+from tidemark.functions.redaction import PREFIX, redact
 from tidemark.operators import aggregates
 from tidemark.operators.scan import Scan, sanitized
 from tidemark.plans import manifest
@@ -36,16 +43,20 @@ class ArchiveResult:
     redactions: int
 
 
+def _write_entries(entries: Iterable[tuple[str, bytes]], target: IO[bytes] | str) -> None:
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_STORED, allowZip64=False) as out:
+        for path, content in entries:
+            info = zipfile.ZipInfo(path, ZIP_TIME)
+            info.create_system, info.external_attr = ZIP_SYSTEM, ZIP_MODE << 16
+            out.writestr(info, content)
+
+
 def write_zip(entries: Iterable[tuple[str, bytes]], target: Path) -> None:
     """Entries in the given order to a new file beside target, which then takes its place."""
     handle, name = tempfile.mkstemp(prefix=f".{target.name}.", dir=target.parent)
     os.close(handle)
     try:
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_STORED, allowZip64=False) as out:
-            for path, content in entries:
-                info = zipfile.ZipInfo(path, ZIP_TIME)
-                info.create_system, info.external_attr = ZIP_SYSTEM, ZIP_MODE << 16
-                out.writestr(info, content)
+        _write_entries(entries, name)
         if os.path.getsize(name) > V.MOST_ARCHIVE_BYTES:
             raise TidemarkError("the archive would be too large")
         os.replace(name, target)
@@ -122,6 +133,23 @@ def generated_entries(s: Summary) -> dict[str, bytes]:
     return {k: v.encode() for k, v in texts.items()}
 
 
+def _order(path: str) -> tuple[str, str]:
+    return path.casefold(), path
+
+
+def all_entries(s: Summary, rows: list[dict[str, Any]], stored: Iterable[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """Stored files, which come in the archive's order and have these records, merged with generated entries and the manifest."""
+    generated, c = generated_entries(s), s.config
+    rows = rows + [{"kind": "generated", "path": k, "sha256": hashlib.sha256(v).hexdigest(), "size": len(v)} for k, v in generated.items()]
+    rows.sort(key=lambda r: _order(r["path"]))
+    project = {"git": dataclasses.asdict(s.git), "languages": s.languages, "metadata_redactions": s.metadata, "name": s.project}
+    policy = {"archive_compression": "stored", "include_untracked": c.include_untracked, "max_file_size": c.max_file_size, "max_files": c.max_files, "max_total_size": c.max_total_size, "secret_policy": "redact", "text_encoding": "UTF-8", "text_newlines": "LF"}
+    generated["MANIFEST.json"] = manifest.canonical(manifest.build(rows, project, policy, s.totals, s.warnings))
+    if len(generated["MANIFEST.json"]) > V.MOST_MANIFEST_BYTES:
+        raise TidemarkError("the manifest would be too large")
+    yield from heapq.merge(sorted(generated.items(), key=lambda x: _order(x[0])), stored, key=lambda x: _order(x[0]))
+
+
 def build_archive(scan: Scan, config: Config, output: str | os.PathLike, project: str, git: GitInfo = GitInfo(), warnings: tuple[str, ...] = (), force: bool = False) -> ArchiveResult:
     """Write the archive of a scan. Contents come to the driver one partition at a time; they are bounded by the scan's limits."""
     target = Path(os.path.abspath(os.path.expanduser(os.fspath(output))))
@@ -130,27 +158,47 @@ def build_archive(scan: Scan, config: Config, output: str | os.PathLike, project
     scan = dataclasses.replace(scan, files=scan.files.persist())
     try:
         s = summarize(scan, config, project, git, list(warnings))
-        generated = generated_entries(s)
         rows = [{k: v for k, v in r.asDict().items() if k != "redactions"} | ({"redactions": dict(r["redactions"])} if r["redactions"] else {}) for r in manifest.records(scan.files).collect()]
-        rows += [{"kind": "generated", "path": k, "sha256": hashlib.sha256(v).hexdigest(), "size": len(v)} for k, v in generated.items()]
-        order = lambda path: (path.casefold(), path)
-        rows.sort(key=lambda r: order(r["path"]))
-        project_part = {"git": dataclasses.asdict(s.git), "languages": s.languages, "metadata_redactions": s.metadata, "name": s.project}
-        policy = {"archive_compression": "stored", "include_untracked": config.include_untracked, "max_file_size": config.max_file_size, "max_files": config.max_files, "max_total_size": config.max_total_size, "secret_policy": "redact", "text_encoding": "UTF-8", "text_newlines": "LF"}
-        generated["MANIFEST.json"] = manifest.canonical(manifest.build(rows, project_part, policy, s.totals, s.warnings))
-        if len(generated["MANIFEST.json"]) > V.MOST_MANIFEST_BYTES:
-            raise TidemarkError("the manifest would be too large")
-
-        def entries() -> Iterable[tuple[str, bytes]]:
-            """Files and generated entries merged in the archive's order."""
-            import heapq
-
-            packed = scan.files.select(F.concat(F.lit("files/"), "path").alias("name"), "packed")
-            stored = ((r["name"], r["packed"].encode()) for r in packed.orderBy(*manifest.archive_order(F.col("name"))).toLocalIterator())
-            yield from heapq.merge(sorted(generated.items(), key=lambda x: order(x[0])), stored, key=lambda x: order(x[0]))
-
-        write_zip(entries(), target)
+        packed = scan.files.select(F.concat(F.lit("files/"), "path").alias("name"), "packed").orderBy(*manifest.archive_order(F.col("name")))
+        write_zip(all_entries(s, rows, ((r["name"], r["packed"].encode()) for r in packed.toLocalIterator())), target)
     finally:
         scan.files.unpersist()
     data = target.read_bytes()
     return ArchiveResult(target, hashlib.sha256(data).hexdigest(), len(data), s.totals["source_files"], s.totals["source_bytes"], s.totals["redactions"])
+
+
+_SUFFIX = re.compile(r"[^/](\.[^./]+)$")
+
+
+def archive_of(files: Iterable[tuple[str, str]], project: str, config: Config = Config(), git: GitInfo = GitInfo()) -> bytes:
+    """The archive of a few files (path, text) in memory, as build_archive writes it for a scan that selects all of them."""
+    rows, stored, kinds, languages = [], [], Counter(), Counter()
+    for path, text in sorted(files, key=lambda x: _order(x[0])):
+        packed, counts = redact(text.replace("\r\n", "\n").replace("\r", "\n"))
+        data = packed.encode()
+        stored.append((f"files/{path}", data))
+        row = {"kind": "source", "path": f"files/{path}", "sha256": hashlib.sha256(data).hexdigest(), "size": len(data), "source_path": path, "source_size": len(text.encode())}
+        rows.append(row | ({"redactions": counts} if counts else {}))
+        kinds.update(counts)
+        if (suffix := _SUFFIX.search(path)) and suffix[1].lower() in V.LANGUAGES:
+            languages[V.LANGUAGES[suffix[1].lower()]] += 1
+    totals = {
+        "candidate_files": len(rows), "excluded_by_reason": {}, "packed_bytes": sum(r["size"] for r in rows), "source_bytes": sum(r["source_size"] for r in rows),
+        "redactions": kinds.total(), "redactions_by_kind": dict(sorted(kinds.items())), "source_files": len(rows),
+    }
+    if len(rows) > config.max_files or max(totals["packed_bytes"], totals["source_bytes"]) > config.max_total_size:
+        raise TidemarkError("the files are more than an archive may hold")
+    affected = [(r["source_path"], r["redactions"]) for r in rows if "redactions" in r]
+    s = Summary(project, git, dict(sorted(languages.items(), key=lambda x: (-x[1], x[0]))), {}, totals, config, [], [r["source_path"] for r in rows[:LISTED_FILES]], affected)
+    out = io.BytesIO()
+    _write_entries(all_entries(s, rows, stored), out)
+    return out.getvalue()
+
+
+def pack_groups(files: DataFrame, project: str, config: Config = Config()) -> DataFrame:
+    """files (archive, path, text) to (archive, data): one archive for each value of `archive`, all in parallel. An archive's limits bound a group."""
+
+    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"archive": [key[0]], "data": [archive_of(zip(group["path"], group["text"], strict=True), f"{project}-{key[0]}", config)]})
+
+    return files.select("archive", "path", "text").groupBy("archive").applyInPandas(pack, f"archive {files.schema['archive'].dataType.simpleString()}, data binary")

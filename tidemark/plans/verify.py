@@ -6,9 +6,11 @@ import hashlib
 import io
 import struct
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,12 @@ def violations(data: bytes, hashes: bool = True) -> tuple[dict[str, Any], list[V
     return m, out
 
 
+def summary(m: dict[str, Any], data: bytes, hashes: bool) -> dict[str, Any]:
+    t = m["totals"]
+    out = {"integrity": "VERIFIED" if hashes else "NOT_VERIFIED", "project": m["project"]["name"], "source_files": t["source_files"], "packed_bytes": t["packed_bytes"], "redactions": t["redactions"], "warnings": m["warnings"]}
+    return out | ({"archive_sha256": hashlib.sha256(data).hexdigest()} if hashes else {})
+
+
 def _checked(path: str | Path, hashes: bool) -> dict[str, Any]:
     try:
         data = Path(path).read_bytes()
@@ -145,9 +153,7 @@ def _checked(path: str | Path, hashes: bool) -> dict[str, Any]:
     if wrong:
         where, check, detail = wrong[0]
         raise VerificationError(f"{where}: {check}: {detail}")
-    t = m["totals"]
-    out = {"integrity": "VERIFIED" if hashes else "NOT_VERIFIED", "project": m["project"]["name"], "source_files": t["source_files"], "packed_bytes": t["packed_bytes"], "redactions": t["redactions"], "warnings": m["warnings"]}
-    return out | ({"archive_sha256": hashlib.sha256(data).hexdigest()} if hashes else {})
+    return summary(m, data, hashes)
 
 
 def inspect_archive(path: str | Path) -> dict[str, Any]:
@@ -159,15 +165,66 @@ def verify_archive(path: str | Path) -> dict[str, Any]:
     return _checked(path, hashes=True)
 
 
-def archive_entries(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, n, path, size, content): the entries of all archives that a path or pattern names, read where the archives are."""
-    import pandas as pd
+# tables of archives, checked where they are; an archive's limits bound what a task holds of it
+
+
+def _mapped(archives: DataFrame, rows: Callable[[bytes], Iterable[tuple]], form: str) -> DataFrame:
+    """archives (archive, data) to rows that each archive gives, with its name in front."""
+    names = ["archive", *(c.split()[0] for c in form.split(", "))]
 
-    def read(batches):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, data in zip(batch["path"], batch["content"], strict=True):
-                archive, _ = open_archive(bytes(data))
-                rows = [(name, n, i.filename, i.file_size, archive.read(i)) for n, i in enumerate(archive.infolist())]
-                yield pd.DataFrame(rows, columns=["archive", "n", "path", "size", "content"])
+            for name, data in zip(batch["archive"], batch["data"], strict=True):
+                yield pd.DataFrame([(name, *row) for row in rows(bytes(data))], columns=names)
+
+    return archives.select("archive", "data").mapInPandas(run, f"archive {archives.schema['archive'].dataType.simpleString()}, {form}")
+
+
+def listed_entries(archives: DataFrame) -> DataFrame:
+    """(archive, n, path, size, content) of all entries of archives (archive, data)."""
+
+    def rows(data: bytes) -> Iterator[tuple]:
+        archive, _ = open_archive(data)
+        return ((n, i.filename, i.file_size, archive.read(i)) for n, i in enumerate(archive.infolist()))
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "archive string, n long, path string, size long, content binary")
+    return _mapped(archives, rows, "n long, path string, size long, content binary")
+
+
+def checked_archives(archives: DataFrame, hashes: bool = True) -> DataFrame:
+    """(archive, path, check, detail) of all violations; an archive that can't be read at all has the check `archive`."""
+
+    def rows(data: bytes) -> list[tuple]:
+        try:
+            return violations(data, hashes)[1]
+        except VerificationError as e:
+            return [("", "archive", str(e))]
+
+    return _mapped(archives, rows, "path string, check string, detail string")
+
+
+def archive_summaries(archives: DataFrame, hashes: bool = True) -> DataFrame:
+    """(archive, integrity, project, source_files, packed_bytes, redactions) of archives without violations."""
+
+    def rows(data: bytes) -> list[tuple]:
+        try:
+            m, wrong = violations(data, hashes)
+        except VerificationError:
+            return []
+        return [] if wrong else [tuple(list(summary(m, data, hashes).values())[:5])]
+
+    return _mapped(archives, rows, "integrity string, project string, source_files long, packed_bytes long, redactions long")
+
+
+def manifest_records(archives: DataFrame) -> DataFrame:
+    """(archive, path, size, sha256, source_path, source_size, redactions) of the source records in each archive's manifest."""
+
+    def rows(data: bytes) -> list[tuple]:
+        m = manifest.parse(open_archive(data)[0].read("MANIFEST.json"))
+        return [(r["path"], r["size"], r["sha256"], r["source_path"], r["source_size"], sum(r.get("redactions", {}).values())) for r in m["entries"] if r["kind"] == "source"]
+
+    return _mapped(archives, rows, "path string, size long, sha256 string, source_path string, source_size long, redactions long")
+
+
+def archive_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, n, path, size, content): the entries of all archives that a path or pattern names, read where the archives are."""
+    return listed_entries(spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("data")))

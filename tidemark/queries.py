@@ -22,8 +22,9 @@ from tidemark.operators import aggregates
 from tidemark.operators.scan import chosen_files, collisions, content_stage, path_stage, sanitized_column
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, verify
-from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_files, table
-from tidemark.streaming import redacted_stream
+from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_columns, document_files, table
+from tidemark.storage import work_folder
+from tidemark.streaming import drained, redacted_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -333,12 +334,17 @@ def skip_reason_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.reasons(_staged(spark, sf_dir).where("path_reason is not null").select(F.col("path_reason").alias("reason")))
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(files, decisions) of a scan of the documents with small budgets."""
+def _narrow_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The documents as files, and the narrow columns that decide about them."""
     docs = document_files(spark, sf_dir).select(F.col("path").alias("safe_path"), F.encode("text", "UTF-8").alias("content")).withColumn("size", F.octet_length("content").cast("bigint"))
     kept = content_stage(docs, SELECT_FILE).withColumn("path", F.col("safe_path"))
     kept = kept.withColumn("priority", P.priority(F.col("path"))).withColumn("fold", P.fold_key(F.col("path")))
-    narrow = kept.select("priority", "fold", "path", F.col("size").alias("planned_size"), "read_reason", "source_size", "packed_size")
+    return docs, kept.select("priority", "fold", "path", F.col("size").alias("planned_size"), "read_reason", "source_size", "packed_size")
+
+
+def _selected(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(files, decisions) of a scan of the documents with small budgets."""
+    docs, narrow = _narrow_files(spark, sf_dir)
     return docs, greedy_select(narrow, SELECT_FILES, SELECT_TOTAL, None)
 
 
@@ -442,4 +448,15 @@ def secrets_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.explode_outer("counts").alias("kind", "n")).where("kind is not null").groupBy("source", "kind").agg(F.sum("n").cast("bigint").alias("n"))
 
 
+@query(f"WITH {DOCS} SELECT path, sha256(regexp_replace(text, 'token = \"[0-9a-f]+\"', 'token = \"{_G}\"', 'g')) AS sha256, len(regexp_extract_all(text, 'token = \"[0-9a-f]+\"'))::BIGINT AS n FROM docs")
+def redact_streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade on a stream of the documents' files, run until it has all, and what it wrote."""
+    docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
+    files = document_columns(docs).select("path", F.encode("text", "UTF-8").alias("content"))
+    return drained(redacted_stream(files), work_folder(spark)).select("path", F.sha2("text", 256).alias("sha256"), _hits("redactions").alias("n"))
+
+
 assert all(compiled(r.pattern) for r in RULES)
+
+# further queries register themselves with these
+from tidemark import archive_queries, detector_queries  # noqa: E402, F401

@@ -15,7 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path and text of every document: the folder by doc_id, the suffix by language."""
-    docs = table(spark, sf_dir, "documents")
+    return document_columns(table(spark, sf_dir, "documents"))
+
+
+def document_columns(docs: DataFrame) -> DataFrame:
+    """As document_files, of a table or a stream of documents."""
     folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.pmod("doc_id", F.lit(len(FOLDERS))) + 1).cast("int"))
     suffix = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for item in SUFFIXES.items() for x in item]), F.col("lang")), F.lit(".txt"))
     path = F.concat(folder, F.lit("/"), F.coalesce("source", F.lit("none")), F.lit("/"), F.col("doc_id").cast("string"), suffix)
