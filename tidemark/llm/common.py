@@ -2,14 +2,51 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.shipping import ship_package as ship_package
+from tidemark import shipping
+from tidemark.storage import work_folder as work_folder
+
+#: Bytes of a batch of rows on its way to Python and back, for sessions that leave Spark's default of 64 MB: each of an
+#: executor's tasks holds a few batches at a time, in the JVM and in Python.
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, and let batches for Python be small."""
+    shipping.ship_package(spark)
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function for mapInArrow or mapInPandas that at its task's end gives back what memory it no longer uses: Python workers live on."""
+
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -25,20 +62,6 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return plain.select(*(F.col(f"_c{names.index(c)}").alias(alias) for alias, c in columns.items()))
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which the driver and all executors share.
-
-    Where the setting is absent a local session gets a temporary folder; on a cluster that is an error, since no folder of one machine would do.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
     """df as a Parquet table in a shared folder: it cuts the lineage and outlives lost executors."""
     path = f"{folder}/{name}"
