@@ -3,7 +3,7 @@
 Documents are split into words in blocks of a bounded size. A block keeps each document as places in its own list of
 distinct words, and deals that list out by a hash of the word. So each distinct word of the whole table meets all its blocks in
 one task, is encoded there once, and its ids go back to the blocks, where they are joined by place. Texts are never
-shuffled, and a block's rows are all that one task holds.
+shuffled. A task holds the words of one block; its documents pass one at a time, become ids, and are decoded from those.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, work_folder, written
+from tidemark.llm.common import pick, tidy, work_folder, written
 
 #: Characters of text after which a block ends; a longer text is a block of its own.
 BLOCK_CHARS = 32_000_000
@@ -43,15 +44,16 @@ _ALPHABET = byte_alphabet()
 _BYTES = {ord(c): i for i, c in enumerate(_ALPHABET)}
 
 
-class WordCoder:
-    """Splits texts as a tokenizer file does, encodes words, and knows its pieces."""
+class WordSplitter:
+    """Splits texts as a tokenizer file does; of the file it keeps all but the vocabulary."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            added = json.load(f)["added_tokens"]
+            told = json.load(f)
+        added = told["added_tokens"]
+        self.tokenizer = Tokenizer.from_str(json.dumps(told | {"added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
         self.special = {x["content"]: x["id"] for x in added}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if added else None
         self.order = list(self.special)
@@ -72,6 +74,16 @@ class WordCoder:
         parts = [[self.order.index(x)] if k % 2 else [known[w] for w in self.words(x)] for k, x in enumerate(self.cut.split(text))]
         return np.array([x for part in parts for x in part], np.int32)
 
+
+
+class WordCoder:
+    """Encodes words as a tokenizer file does, and knows its pieces."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
     def encode(self, word: str) -> list[int]:
         data = word.encode("utf-8").decode("latin-1").translate({i: c for i, c in enumerate(_ALPHABET)})
         return [t.id for t in self.tokenizer.model.tokenize(data)]
@@ -81,6 +93,11 @@ class WordCoder:
         return [self.tokenizer.id_to_token(i) or "" for i in range(size)]
 
 
+@functools.lru_cache(maxsize=2)
+def splitter(path: str) -> WordSplitter:
+    return WordSplitter(path)
+
+
 @functools.lru_cache(maxsize=2)
 def coder(path: str) -> WordCoder:
     return WordCoder(path)
@@ -152,7 +169,7 @@ def split_blocks(path: str, buckets: int, block_chars: int, id_type: pa.DataType
     form = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("doc_id", id_type), ("data", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part, seq = coder(path), TaskContext.get().partitionId(), 0
+        own, part, seq = splitter(path), TaskContext.get().partitionId(), 0
         known, ids, streams, chars = Places(len(own.special)), [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -210,26 +227,32 @@ def encode_words(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return encode
 
 
-def block_tokens(rows: pa.Table, special: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all places one after another, where each place's ids begin) of one block's rows."""
-    buckets, data = rows.column("bucket").to_pylist(), rows.column("data")
-    order = next((unpack(data[k].as_py()) for k, b in enumerate(buckets) if b == ORDER), b"")
-    parts = {b: unpack_places(data[k].as_py()) for k, b in enumerate(buckets) if b >= 0}
-    size = sum(int(x[0]) for x in parts.values())
+def block_tokens(parts: dict[int, bytes], special: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all places one after another, where each place's ids begin) from a block's list of buckets and its words' ids by bucket."""
+    order = unpack(parts[ORDER]) if ORDER in parts else b""
+    found = {b: unpack_places(data) for b, data in parts.items() if b >= 0}
+    size = sum(int(x[0]) for x in found.values())
     order = np.frombuffer(order, "<u2" if len(order) == 2 * size else "<u4")
     counts = np.ones(len(special) + size, np.int64)
-    for b, x in parts.items():
+    for b, x in found.items():
         counts[np.flatnonzero(order == b) + len(special)] = x[1 : 1 + x[0]]
     starts = np.concatenate([[0], np.cumsum(counts)])
-    flat = np.zeros(starts[-1], np.int64)
+    flat = np.zeros(starts[-1], np.int32)
     flat[: len(special)] = special
-    for b, x in parts.items():
+    for b, x in found.items():
         at = np.flatnonzero(order == b) + len(special)
         n = counts[at]
         flat[np.repeat(starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] = x[1 + x[0] :]
     return flat, starts
 
 
+def ids_at(places: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The ids of a document from the places of its words."""
+    n = starts[places + 1] - starts[places]
+    before = np.cumsum(n) - n
+    return flat[np.repeat(starts[places] - before, n) + np.arange(n.sum())]
+
+
 def encoded_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of all blocks: block, bucket, doc_id, data; words have become ids."""
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
@@ -238,9 +261,9 @@ def encoded_blocks(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, i
     id_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     form = _LINK.format(kind=kind)
-    blocks = written(docs.mapInArrow(split_blocks(path, buckets, block_chars, id_type), form), folder, "blocks")
+    blocks = written(docs.mapInArrow(tidy(split_blocks(path, buckets, block_chars, id_type)), form), folder, "blocks")
     dealt = blocks.where("bucket >= 0").repartition(buckets, "bucket")
-    return blocks.where("bucket < 0").unionByName(dealt.mapInArrow(encode_words(path), form))
+    return blocks.where("bucket < 0").unionByName(dealt.mapInArrow(tidy(encode_words(path)), form))
 
 
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
@@ -248,41 +271,39 @@ def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS,
 
     The ids are those of the tokenizers library without added special tokens; special tokens in a text are found before
     anything is normalised. The decoded text is the ids' pieces with a space between, as the library joins them for
-    files without a decoder. A null or empty text has no tokens. Repeated rows give repeated rows, an empty table gives none.
+    files without a decoder. A null or empty text has no tokens. Texts of any length are taken whole, a long one as a block of its
+    own. Repeated rows give repeated rows, an empty table gives none; other columns are ignored.
     """
-    special = list(coder(path).special.values())
+    special = list(splitter(path).special.values())
     pieces = docs.sparkSession.sparkContext.broadcast(coder(path).pieces())  # one for each id of the file
     rows = encoded_blocks(docs, path, block_chars, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     form = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
-    def join(block: pa.Table) -> pa.Table:
-        flat, starts = block_tokens(block, special)
-        table, number = pieces.value, [str(i) for i in flat.tolist()]
-        ends = starts.tolist()
-        # what each place adds to a document
-        as_ids = [" ".join(number[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        number = [table[i] for i in flat.tolist()]
-        as_text = [" ".join(number[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
-        counts = np.diff(starts)
-        out: dict[str, list] = {"doc_id": [], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-        for bucket, doc_id, data in zip(block.column("bucket").to_pylist(), block.column("doc_id").to_pylist(), block.column("data"), strict=True):
-            if bucket != DOCUMENT:
-                continue
-            places = unpack_ranks(data.as_py())
-            at = places.tolist()
-            out["doc_id"].append(doc_id)
-            out["n_tokens"].append(int(counts[places].sum()))
-            out["ids_sha256"].append(hashlib.sha256(" ".join(map(as_ids.__getitem__, at)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(" ".join(map(as_text.__getitem__, at)).encode()).hexdigest())
-            if ids:
-                n = counts[places]
-                before = np.concatenate([[0], np.cumsum(n)])
-                out["ids"].append(flat[np.repeat(starts[places] - before[:-1], n) + np.arange(before[-1])].astype(np.int32))
-        kinds = [block.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string()] + [pa.list_(pa.int32())] * ids
-        return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=False)], names=list(out)[: len(kinds)])
-
-    return rows.groupBy("block").applyInArrow(join, form)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pieces.value
+        number = [str(i) for i in range(len(table))]
+        block, parts, known = None, {}, None
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for now, bucket, doc_id, data in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "doc_id", "data")), strict=True):
+                if now != block:
+                    block, parts, known = now, {}, None
+                if bucket != DOCUMENT:
+                    parts[bucket] = data
+                    continue
+                if known is None:
+                    known, parts = block_tokens(parts, special), {}
+                own = ids_at(unpack_ranks(data), *known)
+                listed = own.tolist()
+                values = (doc_id, len(own), hashlib.sha256(" ".join(map(number.__getitem__, listed)).encode()).hexdigest(), hashlib.sha256(" ".join(map(table.__getitem__, listed)).encode()).hexdigest(), own)
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+            kinds = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * ids]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=False)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(kinds)])
+
+    # a block's words come before its documents, which then pass one by one
+    return rows.repartition("block").sortWithinPartitions("block", F.col("bucket") == DOCUMENT).mapInArrow(tidy(join), form)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -300,4 +321,4 @@ def decode_ids(encoded: DataFrame, path: str, ids_col: str = "ids", keep: tuple[
             batch["decoded"] = [None if x is None else " ".join([pieces.value[i] for i in x]) for x in batch["ids"]]
             yield batch[[*names[:-1], "decoded"]]
 
-    return rows.mapInPandas(decode, form)
+    return rows.mapInPandas(tidy(decode), form)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, pick, work_folder, written
+from tidemark.llm.common import discard, pick, tidy, work_folder, written
 from tidemark.llm.textkernels import PUNCTUATION, mix, word_hashes
 
 #: 1 selects a token, 0 ignores it. Together they hit every run of 13, 15, 20 and 25 tokens with 2, 3, 4 and 5 substitutions,
@@ -265,14 +265,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     docs = pick(docs, id=id_col, text=text_col).where(F.col("text") != "")
     docs = docs.select(F.col("id").cast("bigint").alias("id"), "text", F.xxhash64("text").alias("h"))
     items = pick(benchmark, item_id=item_col, text=item_text_col).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    items = items.mapInArrow(item_rows, "item_id long, n int, tokens binary").withColumn("key", F.monotonically_increasing_id())
+    items = items.mapInArrow(tidy(item_rows), "item_id long, n int, tokens binary").withColumn("key", F.monotonically_increasing_id())
     items = written(items, folder, "items")
-    seeds = written(items.select("key", "tokens").mapInArrow(item_seeds(share), "key long, seed long"), folder, "item-seeds")
+    seeds = written(items.select("key", "tokens").mapInArrow(tidy(item_seeds(share)), "key long, seed long"), folder, "item-seeds")
     lengths = sorted(r["n"] for r in items.where(F.col("n") < LEAST_OVERLAP).select("n").distinct().collect())  # 12 at most
     masks = list(dict.fromkeys([*MASKS, *(mask for n in lengths for mask in short_masks(n, share))]))
     rows = seeds.count()
     table = spark.sparkContext.broadcast(bit_table(seeds, rows))
-    found = docs.select("h", "text").mapInArrow(text_seeds(masks, table), "h long, seed long").distinct()
+    found = docs.select("h", "text").mapInArrow(tidy(text_seeds(masks, table)), "h long, seed long").distinct()
     if rows <= BROADCAST_ROWS:
         pairs = found.join(F.broadcast(seeds), "seed")
     else:
@@ -286,6 +286,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     lists = written(lists, folder, "lists")
     if (lists.agg(F.sum("bytes")).first()[0] or 0) <= BROADCAST_MB << 20:
         lists = F.broadcast(lists)
-    out = docs.join(lists, "h").select("id", "text", "items").mapInArrow(compare_texts(least, share), _FORM)
+    out = docs.join(lists, "h").select("id", "text", "items").mapInArrow(tidy(compare_texts(least, share)), _FORM)
     discard(spark, folder, "items", "item-seeds", "pairs")
     return out

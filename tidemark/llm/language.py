@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import pick, tidy
 
 #: n-grams of 1 to 3 characters, hashed into so many buckets each.
 SIZES, BITS = (1, 2, 3), 15
@@ -155,7 +155,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS, tasks: int = 8, smoothing: fl
         if counts:
             yield pd.DataFrame({"lang": list(counts), "counts": [x.astype("<i8").tobytes() for x in counts.values()]})
 
-    parts = chosen.select("lang", "text").repartition(tasks).mapInPandas(count, "lang string, counts binary").collect()
+    parts = chosen.select("lang", "text").repartition(tasks).mapInPandas(tidy(count), "lang string, counts binary").collect()
     langs = tuple(sorted({r["lang"] for r in parts}))
     sums = np.zeros((len(langs), WIDTH))
     seen = np.array([usable[x] for x in langs], float)
@@ -187,4 +187,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     narrow = docs.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "text", *carried)
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return narrow.mapInPandas(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")
+    return narrow.mapInPandas(tidy(predict), f"doc_id {kind}, held_out boolean, lang_pred string, score double{more}")

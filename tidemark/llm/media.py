@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import pick, work_folder, written
+from tidemark.llm.common import pick, tidy, work_folder, written
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -163,7 +163,7 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             images = [to_samples(x if isinstance(x, str) else "") for x in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for _, n in images], "media": [write_png(x, filters=None) for x, _ in images]})
 
-    return docs.mapInPandas(store, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.mapInPandas(tidy(store), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def media_features(media: DataFrame) -> DataFrame:
             yield pd.concat([batch[["doc_id", "n_bytes"]].reset_index(drop=True), pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])], axis=1)
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInPandas(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.mapInPandas(tidy(read), f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

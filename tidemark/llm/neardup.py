@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, pick, work_folder, written
+from tidemark.llm.common import discard, pick, tidy, work_folder, written
 from tidemark.llm.graph import components
 from tidemark.llm.textkernels import normal_bytes, numbered_shingles, shingle_set, word_hashes
 
@@ -288,7 +288,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, threshold: int) -> Da
     centres = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "part", F.lit(None).cast("bigint").alias("b"), "text")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = members.union(centres).repartition(n, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(verify_sets(size, threshold), "a long, b long")
+    return rows.mapInArrow(tidy(verify_sets(size, threshold)), "a long, b long")
 
 
 def _cells(rows: DataFrame, side: F.Column, *columns: str) -> DataFrame:
@@ -312,11 +312,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark, folder = docs.sparkSession, work_folder(docs.sparkSession)
     docs = pick(docs, id=id_col, text=text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     limits = least_matches(threshold, miss)
-    sketches = written(docs.mapInArrow(sketch(size), "id long, n long, digest binary, signature binary"), folder, "sketches")
+    sketches = written(docs.mapInArrow(tidy(sketch(size)), "id long, n long, digest binary, signature binary"), folder, "sketches")
     classes = sketches.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
     classes = written(classes, folder, "classes")
 
-    bands = classes.select("id", "signature").mapInArrow(band_keys, "band int, key long, id long")
+    bands = classes.select("id", "signature").mapInArrow(tidy(band_keys), "band int, key long, id long")
     bands = written(bands, folder, "bands")
     heads = bands.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("m")).where("m > 1")
     members = written(bands.join(written(heads, folder, "heads"), ["band", "key"]).where("id > head").select("band", "key", "head", "m", "id"), folder, "members")
@@ -326,7 +326,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = classes.select("id", "n", "signature")
     for end in "ab":
         stars = stars.join(of.select(F.col("id").alias(end), F.col("n").alias(f"size_{end}"), F.col("signature").alias(f"signature_{end}")), end)
-    survivors = written(stars.mapInArrow(compare_pairs(limits, threshold), "a long, b long, size_b long"), folder, "survivors-1")
+    survivors = written(stars.mapInArrow(tidy(compare_pairs(limits, threshold)), "a long, b long, size_b long"), folder, "survivors-1")
     discard(spark, folder, "stars")
     links = written(verified(survivors, docs, size, threshold), folder, "links-1")
     labels = components(links, folder, "labels-1")
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kin = written(kin.join(mixed, "family"), folder, "mixed-kin")
     kin = kin.join(texts_of(docs, kin.select("id"), kin.count()), "id")
     cells = _cells(kin, F.col("side"), "family", "id", "label", "n", "signature", "text").repartition(shuffles, "family", "row", "col").sortWithinPartitions("family", "row", "col")
-    joined = written(cells.mapInArrow(verify_cells(size, limits, threshold), "a long, b long"), folder, "links-2")
+    joined = written(cells.mapInArrow(tidy(verify_cells(size, limits, threshold)), "a long, b long"), folder, "links-2")
     if not joined.isEmpty():
         links = written(links.union(joined), folder, "links-12")
         labels = components(links, folder, "labels-2")
@@ -351,7 +351,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = labelled.join(written(mixed, folder, "mixed-2"), ["band", "key"])
     cells = _cells(rest, F.ceil(F.col("m") / CELL).cast("int"), "band", "key", "id", "label", "family").join(of, "id")
     cells = cells.repartition(shuffles, "band", "key", "row", "col").sortWithinPartitions("band", "key", "row", "col")
-    survivors = written(cells.mapInArrow(compare_cells(limits, threshold), "a long, b long, size_b long"), folder, "survivors-2")
+    survivors = written(cells.mapInArrow(tidy(compare_cells(limits, threshold)), "a long, b long, size_b long"), folder, "survivors-2")
     more = written(verified(survivors, docs, size, threshold), folder, "links-3")
     if not more.isEmpty():
         labels = components(written(links.union(more), folder, "links-123"), folder, "labels-3")

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import tidy
 from tidemark.llm.spans import Span, masked, span_table
 from tidemark.llm.tagger import Tagger, character_ids, fit
 
@@ -242,4 +243,4 @@ def masked_documents(docs: DataFrame, text_col: str = "text", length_col: str =
             columns[names.index(length_col)] = pa.array(lengths, batch.schema.field(names.index(length_col)).type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

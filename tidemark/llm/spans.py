@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import pick
+from tidemark.llm.common import pick, tidy
 
 Span = tuple[str, int, int]
 
@@ -58,4 +58,4 @@ def span_table(docs: DataFrame, find: Callable[[list[str]], list[tuple[list[Span
             frame["doc_id"] = batch["doc_id"].to_numpy()
             yield frame
 
-    return docs.mapInPandas(run, form)
+    return docs.mapInPandas(tidy(run), form)

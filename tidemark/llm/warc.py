@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import pick, work_folder, written
+from tidemark.llm.common import pick, tidy, work_folder, written
 
 #: Bytes of payload from which equal ones are stored once.
 LEAST_REVISIT = 1000
@@ -147,7 +147,7 @@ def build_archives(pages: DataFrame, least: int = LEAST_REVISIT, archive_bytes:
         if held:
             yield pd.DataFrame({"archive": [f"part-{part:06d}-{seq:05d}.warc.gz"], "content": [b"".join(held)]})
 
-    return written(joined.mapInPandas(build, "archive string, content binary"), folder, "archives")
+    return written(joined.mapInPandas(tidy(build), "archive string, content binary"), folder, "archives")
 
 
 _FORM = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -174,7 +174,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 columns = zip((c.split()[0] for c in _FORM.split(", ")), zip(*rows, strict=True), strict=True)
                 yield pd.DataFrame({c: pd.array(x, "Int64") if c in ("page_id", "refers_to") else list(x) for c, x in columns})
 
-    return archives.mapInPandas(read, _FORM)
+    return archives.mapInPandas(tidy(read), _FORM)
 
 
 def write_files(archives: DataFrame, folder: str) -> list[str]:
