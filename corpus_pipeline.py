@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, language, neardup, pii
-from tidemark.llm.common import ship_package, table, work_folder, written
+from tidemark.llm.common import discard, pick, ship_package, table, work_folder, written
 from tidemark.llm.queries import tokenizer_path
 
 #: The columns of documents, which all stages but the last return.
@@ -23,8 +23,14 @@ BROADCAST_IDS = 1_000_000
 KEY = "_row"
 
 
+def _columns(docs: DataFrame) -> DataFrame:
+    """The columns of documents, found by exact name, whatever others there are."""
+    return pick(docs, **{c: c for c in COLUMNS})
+
+
 def _keyed(docs: DataFrame, folder: str) -> DataFrame:
     """The documents with a key of each row, in the order of doc_id: doc_id itself unless some are null or repeated."""
+    docs = _columns(docs)
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
         return docs.select(*COLUMNS, F.col("doc_id").alias(KEY))
     # the text's hash deals out the rows of one doc_id; the numbers are written, as they would differ in another run
@@ -39,7 +45,11 @@ def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no letters or whose language the classifier can't tell."""
+    """Without documents that have no letters or whose language the classifier can't tell.
+
+    A null or empty text has no letters. Every row is judged by its own text, also where doc_ids are null or repeated. An empty table
+    stays empty; columns other than those of documents are dropped.
+    """
     ship_package(spark)
     folder = work_folder(spark)
     docs = _keyed(docs, folder)
@@ -60,7 +70,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a passage of the benchmark."""
+    """Without documents that hold a passage of the benchmark.
+
+    A null or empty text holds none. Every row is judged by its own text, also where doc_ids are null or repeated; with an empty table
+    or an empty benchmark all rows stay.
+    """
     ship_package(spark)
     folder = work_folder(spark)
     docs = _keyed(docs, folder)
@@ -69,13 +83,13 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by the name of its kind; n_chars is that of the new text."""
+    """All documents, with personal data replaced by the name of its kind; n_chars is that of the new text. Null texts stay null."""
     ship_package(spark)
-    return pii.masked_documents(docs).select(*COLUMNS)
+    return pii.masked_documents(_columns(docs))
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's ids, their number, and digests of ids and decoded text."""
+    """Each document's ids, their number, and digests of ids and decoded text; one row for each row, null texts have no tokens, an empty table no rows."""
     ship_package(spark)
     return bpe.encode_documents(docs, tokenizer_path())
 
@@ -94,7 +108,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each one's result written to the shared folder and read again."""
-    docs, folder = table(spark, sf_dir, "documents"), work_folder(spark)
+    docs, folder, before = table(spark, sf_dir, "documents"), work_folder(spark), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), folder, name)
+        discard(spark, folder, *before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)

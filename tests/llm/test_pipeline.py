@@ -72,3 +72,12 @@ def test_run(spark, sf_dir):
 def test_empty(spark, folder):
     none = spark.createDataFrame([], COLUMNS)
     assert all(stage(spark, none, folder).collect() == [] for _, stage in P.STAGES)
+
+
+def test_other_columns_with_clashing_names(spark, folder):
+    plain = docs(spark)
+    names = [*plain.columns, "DOC_ID", "Text", "_row", "h", "key", "score", "lang_pred", "block", "data", "bucket", "digest"]
+    clashing = plain.select("*", *[plain["doc_id"].alias(f"c{k}") for k in range(len(names) - len(plain.columns))]).toDF(*names)
+    for name, stage in P.STAGES:
+        rows = [stage(spark, d, folder).collect() for d in (plain, clashing)]
+        assert sorted(map(repr, rows[0])) == sorted(map(repr, rows[1])), name
