@@ -19,7 +19,7 @@ from tidemark.functions import redaction as R
 from tidemark.functions.rules import Rule, compiled, denied
 from tidemark.functions.sizes import formatted_size, parsed_size
 from tidemark.operators import aggregates
-from tidemark.operators.scan import chosen_files, collisions, content_stage, path_stage, sanitized_column
+from tidemark.operators.scan import Scan, chosen_files, collisions, content_stage, path_stage, sanitized_column, scan
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, verify
 from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_columns, document_files, table
@@ -372,6 +372,42 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.records(chosen.select("path", "source_size", "packed", "sha256", "redactions"))
 
 
+_SCANNED = f"""RECURSIVE {DOCS}, f AS (SELECT doc_id % 7 AS k, text, CASE WHEN doc_id % 7 = 3 THEN path || '.png' ELSE path END AS path, octet_length(encode(text))::BIGINT + (doc_id % 7 IN (1, 2))::BIGINT AS size,
+        octet_length(encode(regexp_replace(text, 'token = "[0-9a-f]+"', 'token = "{_G}"', 'g')))::BIGINT AS packed FROM docs),
+    d AS (SELECT *, {_REASON} AS path_reason, CASE WHEN size > {V.DEFAULT_FILE_BYTES} THEN 'file_size_limit' WHEN k = 3 THEN 'binary_extension' WHEN k = 2 THEN 'binary_content' WHEN k = 1 THEN 'non_utf8_text' END AS told FROM f),
+    ranked AS (SELECT *, row_number() OVER (ORDER BY {PRIORITY}, lower(path), path) AS at FROM d WHERE path_reason IS NULL),
+    fold AS (SELECT 0::BIGINT AS at, 0::BIGINT AS n, 0::BIGINT AS p, 0::BIGINT AS s, NULL::VARCHAR AS path, NULL::VARCHAR AS reason UNION ALL
+        SELECT r.at, f.n + (c.reason IS NULL)::BIGINT, f.p + CASE WHEN c.reason IS NULL THEN r.packed ELSE 0 END, f.s + CASE WHEN c.reason IS NULL THEN r.size ELSE 0 END, r.path, c.reason
+        FROM fold f JOIN ranked r ON r.at = f.at + 1, LATERAL (SELECT CASE WHEN f.n >= {V.DEFAULT_FILES} THEN 'file_limit' WHEN f.s + r.size > {V.DEFAULT_TOTAL_BYTES} THEN 'source_total_size_limit'
+            WHEN r.told IS NOT NULL THEN r.told WHEN f.p + r.packed > {V.DEFAULT_TOTAL_BYTES} THEN 'total_size_limit' END AS reason) c),
+    skipped AS (SELECT path, path_reason AS reason FROM d WHERE path_reason IS NOT NULL UNION ALL SELECT path, reason FROM fold WHERE reason IS NOT NULL)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> Scan:
+    """A whole scan of the documents with the default limits; some are binary by name or content, or not in UTF-8."""
+    docs, kind, data = document_files(spark, sf_dir), F.pmod("doc_id", F.lit(7)), F.encode("text", "UTF-8")
+    content = F.when(kind == 1, F.concat(data, F.lit(b"\xff"))).when(kind == 2, F.concat(data, F.lit(b"\0"))).otherwise(data)
+    path = F.when(kind == 3, F.concat("path", F.lit(".png"))).otherwise(F.col("path"))
+    files = docs.select(path.alias("path"), content.alias("content")).withColumn("size", F.octet_length("content").cast("bigint"))
+    return scan(files, rules=RULES, ceilings=False)
+
+
+@query(f"WITH {_SCANNED} SELECT path, reason FROM skipped")
+def scan_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).skipped
+
+
+@query(f"WITH {_SCANNED} SELECT reason, count(*) AS n FROM skipped GROUP BY reason")
+def scan_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each reason of a whole scan holds, those of contents and limits too."""
+    return aggregates.reasons(_scanned(spark, sf_dir).skipped)
+
+
+@query(f"WITH {_SCANNED} SELECT o.path, d.size AS source_size, d.packed AS packed_size, sha256(regexp_replace(d.text, 'token = \"[0-9a-f]+\"', 'token = \"{_G}\"', 'g')) AS sha256 FROM fold o JOIN d USING (path) WHERE o.at > 0 AND o.reason IS NULL")
+def scan_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).files.select("path", "source_size", "packed_size", "sha256")
+
+
 _hits = lambda c: F.aggregate(F.map_values(c), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
