@@ -21,12 +21,11 @@ from tidemark.functions.rules import parse_rules
 from tidemark.operators.scan import path_stage, sanitized_with_counts, skipped_order
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, pack, verify
-from tidemark.queries import _NAME, _PORTABLE_SQL, _RULE_SQL, _SELECT, DOCS, EXCLUDED, PATHS, RULES, SELECT_FILES, SELECT_TOTAL, _many_paths, _narrow_files, query
+from tidemark.queries import _NAME, _PORTABLE_SQL, _RULE_SQL, _SELECT, DOCS, EXCLUDED, PATHS, RULES, SELECT_FILES, SELECT_TOTAL, _many_paths, _narrow_files, natural_hits, natural_masked, query
 from tidemark.sources.tables import document_files, table
 
-_MASKED = f'token = "{R.mask(R.GENERIC)}"'
 ARCHIVED = f"""{DOCS}, a AS (SELECT doc_id // 8 AS archive, path, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'token = "' || left(sha256(text), 20) || '"' ELSE text END AS text FROM docs),
-    p AS (SELECT *, 'files/' || path AS name, regexp_replace(text, 'token = "[0-9a-f]+"', '{_MASKED}', 'g') AS packed, len(regexp_extract_all(text, 'token = "[0-9a-f]+"'))::BIGINT AS hits FROM a)"""
+    p AS (SELECT *, 'files/' || path AS name, {natural_masked('text')} AS packed, {natural_hits('text')} AS hits FROM a)"""
 _TURN = "row_number() OVER (PARTITION BY archive ORDER BY lower(name), name)"
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import redaction as R
-from tidemark.queries import DOCS, _fake, _G, query
+from tidemark.queries import DOCS, _fake, _G, natural_hits, natural_masked, query
 from tidemark.sources.tables import document_files
 
 #: By detector: what a value begins with, and of how many digits of a hash it consists; some are too short to count. Then its pattern in SQL.
@@ -88,8 +88,8 @@ def _literal(text: str) -> str:
 
 
 @query(f"""WITH {DOCS}, f AS (SELECT [{', '.join(_literal(a) for a, _ in FORMS)}] AS given, [{', '.join(_literal(b) for _, b in FORMS)}] AS kept),
-    t AS (SELECT doc_id, regexp_replace(text, 'token = "[0-9a-f]+"', 'token = "{_G}"', 'g') || chr(10) || replace(kept[doc_id % {len(FORMS)} + 1], '{{v}}', left(sha256(text), 16)) || chr(10) || 'end' AS text,
-        len(regexp_extract_all(text, 'token = "[0-9a-f]+"')) + (given[doc_id % {len(FORMS)} + 1] <> kept[doc_id % {len(FORMS)} + 1])::INT AS n FROM docs, f)
+    t AS (SELECT doc_id, {natural_masked('text')} || chr(10) || replace(kept[doc_id % {len(FORMS)} + 1], '{{v}}', left(sha256(text), 16)) || chr(10) || 'end' AS text,
+        {natural_hits('text')} + (given[doc_id % {len(FORMS)} + 1] <> kept[doc_id % {len(FORMS)} + 1])::INT AS n FROM docs, f)
     SELECT doc_id, sha256(text) AS sha256, n::BIGINT AS n FROM t""")
 def detect_all_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole cascade on whole documents that end in one of many forms of secrets, placeholders and code."""

@@ -259,6 +259,17 @@ def _register_cascade(name: str, real: Callable[[], Column], real_sql: str, expe
 
 
 _G = R.mask(R.GENERIC)
+
+
+def natural_masked(text: str) -> str:
+    """SQL of a document with its own secrets masked; they are all of one form, in capitals where the document is."""
+    return f"regexp_replace({text}, '(?i)(token) = \"[0-9a-f]+\"', '\\1 = \"{_G}\"', 'g')"
+
+
+def natural_hits(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '(?i)token = \"[0-9a-f]+\"'))::BIGINT"
+
+
 _register_cascade("authorization", lambda: F.concat(F.lit("Authorization: Bearer "), _fake(20)), "", f"'Authorization: Bearer {R.mask('AUTHORIZATION')}'", "Authorization: Bearer YOUR_TOKEN_HERE", "AUTHORIZATION")
 _register_cascade("url", lambda: F.concat(F.lit("db://user:"), _fake(12), F.lit("@host")), "", f"'db://{R.mask('URL_USERNAME')}:{R.mask('URL_PASSWORD')}@host'", "db://${U}:${P}@host", "URL_CREDENTIALS")
 _register_cascade("docker", lambda: F.concat(F.lit('"auth": "'), _fake(16), F.lit('"')), "", f"'\"auth\": \"{R.mask('DOCKER_AUTH')}\"'", '"auth": "xxxxxxxx"', "DOCKER_AUTH")
@@ -373,7 +384,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCANNED = f"""RECURSIVE {DOCS}, f AS (SELECT doc_id % 7 AS k, text, CASE WHEN doc_id % 7 = 3 THEN path || '.png' ELSE path END AS path, octet_length(encode(text))::BIGINT + (doc_id % 7 IN (1, 2))::BIGINT AS size,
-        octet_length(encode(regexp_replace(text, 'token = "[0-9a-f]+"', 'token = "{_G}"', 'g')))::BIGINT AS packed FROM docs),
+        octet_length(encode({natural_masked('text')}))::BIGINT AS packed FROM docs),
     d AS (SELECT *, {_REASON} AS path_reason, CASE WHEN size > {V.DEFAULT_FILE_BYTES} THEN 'file_size_limit' WHEN k = 3 THEN 'binary_extension' WHEN k = 2 THEN 'binary_content' WHEN k = 1 THEN 'non_utf8_text' END AS told FROM f),
     ranked AS (SELECT *, row_number() OVER (ORDER BY {PRIORITY}, lower(path), path) AS at FROM d WHERE path_reason IS NULL),
     fold AS (SELECT 0::BIGINT AS at, 0::BIGINT AS n, 0::BIGINT AS p, 0::BIGINT AS s, NULL::VARCHAR AS path, NULL::VARCHAR AS reason UNION ALL
@@ -403,7 +414,7 @@ def scan_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregates.reasons(_scanned(spark, sf_dir).skipped)
 
 
-@query(f"WITH {_SCANNED} SELECT o.path, d.size AS source_size, d.packed AS packed_size, sha256(regexp_replace(d.text, 'token = \"[0-9a-f]+\"', 'token = \"{_G}\"', 'g')) AS sha256 FROM fold o JOIN d USING (path) WHERE o.at > 0 AND o.reason IS NULL")
+@query(f"WITH {_SCANNED} SELECT o.path, d.size AS source_size, d.packed AS packed_size, sha256({natural_masked('d.text')}) AS sha256 FROM fold o JOIN d USING (path) WHERE o.at > 0 AND o.reason IS NULL")
 def scan_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scanned(spark, sf_dir).files.select("path", "source_size", "packed_size", "sha256")
 
@@ -484,7 +495,7 @@ def secrets_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("source", F.explode_outer("counts").alias("kind", "n")).where("kind is not null").groupBy("source", "kind").agg(F.sum("n").cast("bigint").alias("n"))
 
 
-@query(f"WITH {DOCS} SELECT path, sha256(regexp_replace(text, 'token = \"[0-9a-f]+\"', 'token = \"{_G}\"', 'g')) AS sha256, len(regexp_extract_all(text, 'token = \"[0-9a-f]+\"'))::BIGINT AS n FROM docs")
+@query(f"WITH {DOCS} SELECT path, sha256({natural_masked('text')}) AS sha256, {natural_hits('text')} AS n FROM docs")
 def redact_streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade on a stream of the documents' files, run until it has all, and what it wrote."""
     docs = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/documents.parque[t]")
