@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import pick
 
 #: Fixed values: (verdict, rule). A rule's host ends at its first slash.
-RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 #: n-grams of a host or path, hashed into so many buckets; steps and rate of gradient descent, and the weight of the penalty.
 GRAMS, BUCKETS = (3, 4), 8192
 STEPS, RATE, PENALTY = 400, 0.5, 1e-3
