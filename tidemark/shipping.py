@@ -1,4 +1,4 @@
-"""Sending this package to executors."""
+"""Sending this package to executors, and rows to Python."""
 
 from __future__ import annotations
 
@@ -9,9 +9,16 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Bytes of a batch of rows on its way to Python and back, for sessions that leave Spark's default of 64 MB: each of an
+#: executor's tasks holds a few batches at a time, in the JVM and in Python.
+BATCH_BYTES = 2 << 20
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors unless their PYTHONPATH has it already."""
+    """Send this package to the executors unless their PYTHONPATH has it already, and let batches for Python be small."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
     root = Path(__file__).resolve().parents[1]
     paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     context = spark.sparkContext
