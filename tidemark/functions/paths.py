@@ -110,7 +110,7 @@ def portable_path(path: str, normalize: bool = True) -> str | None:
         return None
     fine = sum(sizes) + len(parts) - 1 <= 4096 and max(sizes) <= 255 and not any(p in ("", ".", "..") for p in parts)
     fine = fine and not any(":" in p or p[-1] in " ." or p.split(".")[0].casefold() in V.RESERVED_STEMS for p in parts)
-    return composed if fine and not any(map(_bad_character, composed)) else None
+    return composed if fine and ((composed.isascii() and composed.isprintable()) or not any(map(_bad_character, composed))) else None
 
 
 @F.pandas_udf(T.StringType())
