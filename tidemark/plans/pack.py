@@ -6,6 +6,7 @@ import dataclasses
 import hashlib
 import heapq
 import io
+import itertools
 import os
 import re
 import tempfile
@@ -15,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 from typing import IO, Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -196,9 +197,19 @@ def archive_of(files: Iterable[tuple[str, str]], project: str, config: Config =
 
 
 def pack_groups(files: DataFrame, project: str, config: Config = Config()) -> DataFrame:
-    """files (archive, path, text) to (archive, data): one archive for each value of `archive`, all in parallel. An archive's limits bound a group."""
-
-    def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"archive": [key[0]], "data": [archive_of(zip(group["path"], group["text"], strict=True), f"{project}-{key[0]}", config)]})
-
-    return files.select("archive", "path", "text").groupBy("archive").applyInPandas(pack, f"archive {files.schema['archive'].dataType.simpleString()}, data binary")
+    """files (archive, path, text) to (archive, data): one archive for each value of `archive`, all in parallel. An archive's limits bound a group.
+
+    Each task streams its files, sorted by archive, and holds one archive's files at a time.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((batch, k) for batch in batches for k in range(batch.num_rows))
+        for name, group in itertools.groupby(rows, lambda x: x[0]["archive"][x[1]].as_py()):
+            kind, held = None, []
+            for batch, k in group:
+                kind = batch.schema.field("archive").type
+                held.append((batch["path"][k].as_py(), batch["text"][k].as_py()))
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([archive_of(held, f"{project}-{name}", config)], pa.binary())], names=["archive", "data"])
+
+    grouped = files.select("archive", "path", "text").repartition("archive").sortWithinPartitions("archive")
+    return grouped.mapInArrow(pack, f"archive {files.schema['archive'].dataType.simpleString()}, data binary")
