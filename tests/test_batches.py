@@ -4,8 +4,13 @@ import hashlib
 import io
 import zipfile
 
+import pytest
+
 import __spark_entry__ as entry
+from tidemark import queries as Q
 from tidemark.functions import redaction as R
+from tidemark.functions.rules import Rule
+from tidemark.operators.scan import path_stage
 from tidemark.plans import pack, verify
 
 SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -62,3 +67,23 @@ def test_portable_paths_of_all_ascii():
 
     for c in map(chr, range(128)):
         assert (portable_path(f"a{c}b") is None) == (ord(c) < 32 or ord(c) == 127 or c in "\\:"), hashlib.sha256(c.encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["rule_files", "manifest_fields", "config_files", "skip_reason_histogram"])
+def test_small_files_are_dealt_over_tasks(spark, sf_dir, name):
+    """However few bytes a table has: each of its rows takes Python or long expressions."""
+    dealt = [line for line in plan(Q.QUERIES[name](spark, sf_dir)).splitlines() if "REPARTITION_BY_NUM" in line]
+    assert dealt and all(f", {spark.conf.get('spark.sql.shuffle.partitions')})" in line for line in dealt)
+
+
+def test_paths_are_decided_once(spark):
+    """A predicate on the reason gets no copies of what the reason is made of."""
+    files = spark.createDataFrame([("a\\b",), ("docs/x.py",), (".env",), ("é/π.md",), ("x/AKIA" + "Z9" * 8,), ("end.",)], "path string")
+    found = path_stage(files, (Rule("/docs/"),))
+    skipped = found.where("path_reason is not null")
+    assert skipped._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") <= 12
+    assert {r.path: (r.path_reason, r.shown_path == r.path, r.path_counts) for r in found.collect()} == {
+        "a\\b": ("unsafe_path", False, {}), "docs/x.py": ("project_ignore", True, {}), ".env": ("always_excluded", True, {}), "é/π.md": (None, True, {}),
+        "x/AKIA" + "Z9" * 8: ("secret_in_path", False, {"AWS_ACCESS_KEY": 1}), "end.": ("unsafe_path", False, {}),
+    }
+    assert skipped.count() == 5

@@ -22,7 +22,7 @@ from tidemark.operators.scan import path_stage, sanitized_with_counts, skipped_o
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, pack, verify
 from tidemark.queries import _NAME, _PORTABLE_SQL, _RULE_SQL, _SELECT, DOCS, EXCLUDED, PATHS, RULES, SELECT_FILES, SELECT_TOTAL, _many_paths, _narrow_files, natural_hits, natural_masked, query
-from tidemark.sources.tables import document_files, table
+from tidemark.sources.tables import document_files, spread, table
 
 ARCHIVED = f"""{DOCS}, a AS (SELECT doc_id // 8 AS archive, path, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'token = "' || left(sha256(text), 20) || '"' ELSE text END AS text FROM docs),
     p AS (SELECT *, 'files/' || path AS name, {natural_masked('text')} AS packed, {natural_hits('text')} AS hits FROM a)"""
@@ -188,7 +188,7 @@ def manifest_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(",".join(sorted({check for _, check, _ in wrong})) or None)
         return pd.Series(out, dtype=object)
 
-    return table(spark, sf_dir, "part").select("p_partkey", found("p_partkey").alias("check"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", found("p_partkey").alias("check"))
 
 
 # policies and names
@@ -202,16 +202,17 @@ RULE_FILES = (("*.log\n\n# c\n docs/ \n", "*.log|docs/"), ("!keep\n", None), ("a
 def rule_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("string")
     def patterns(texts: pd.Series) -> pd.Series:
-        out = []
+        found = {}  # equal files of a batch are read once
         for text in texts:
-            try:
-                out.append("|".join(r.pattern for r in parse_rules(text)))
-            except ConfigError:
-                out.append(None)
-        return pd.Series(out, dtype=object)
+            if text not in found:
+                try:
+                    found[text] = "|".join(r.pattern for r in parse_rules(text))
+                except ConfigError:
+                    found[text] = None
+        return pd.Series([found[text] for text in texts], dtype=object)
 
     text = F.element_at(F.array(*(F.lit(t) for t, _ in RULE_FILES)), (F.pmod("p_partkey", F.lit(len(RULE_FILES))) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", patterns(text).alias("patterns"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", patterns(text).alias("patterns"))
 
 
 _CONFIGS = ("[limits]\nmax_files = %s\n", "", "[limits]\nmax_files = 0\n", "[limits]\nmax_files = true\n", "[limits]\nmax_files = 10001\n", "[other]\n", "﻿[limits]\nmax_files = 7\n[scan]\ninclude_untracked = false\n", "[limits\n", "[limits]\nmax_file = 1\n", "[scan]\ninclude_untracked = 1\n")
@@ -232,7 +233,7 @@ def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series(out, dtype="Int64")
 
     text = F.element_at(F.array(*(F.replace(F.lit(t), F.lit("%s"), F.col("p_size").cast("string")) for t in _CONFIGS)), (F.pmod("p_partkey", F.lit(len(_CONFIGS))) + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", limit(text).alias("max_files"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", limit(text).alias("max_files"))
 
 
 @query("SELECT s_suppkey, sha256(CASE WHEN s_suppkey % 2 = 0 THEN 'missing' ELSE 'present:' || s_name END) AS token FROM supplier")
@@ -262,7 +263,7 @@ _DECIDED = f"""WITH {_SECRET_PATHS}, d AS (SELECT p_partkey, path, CASE WHEN NOT
 
 def _decided_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.concat(F.lit("/AKIA"), F.upper(F.substring(F.sha2("path", 256), 1, 16)))
-    paths = _many_paths(spark, sf_dir).withColumn("path", F.concat("path", F.when(F.pmod("p_partkey", F.lit(4)) == 0, token).otherwise(F.lit(""))))
+    paths = spread(_many_paths(spark, sf_dir), "p_partkey").withColumn("path", F.concat("path", F.when(F.pmod("p_partkey", F.lit(4)) == 0, token).otherwise(F.lit(""))))
     return path_stage(paths, RULES, OUTPUT)
 
 

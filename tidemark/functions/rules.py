@@ -6,10 +6,10 @@ path and, from the right, against as many components as it has; a directory patt
 
 from __future__ import annotations
 
-import dataclasses
 import re
 import unicodedata
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,8 +18,7 @@ from tidemark import vocabulary as V
 from tidemark.errors import ConfigError
 
 
-@dataclasses.dataclass(frozen=True)
-class Rule:
+class Rule(NamedTuple):
     pattern: str
     negated: bool = False
     deny: bool = True
@@ -33,8 +32,9 @@ def parse_rules(text: str, name: str = "rules", negation: bool = False) -> list[
             continue
         if line[0] == "!" and not negation:
             raise ConfigError(f"{name}:{number}: rules that take paths back are not allowed here")
-        pattern = unicodedata.normalize("NFC", line.removeprefix("!").replace("\\", "/"))
-        if len(pattern.encode()) > V.MOST_PATTERN_BYTES:
+        pattern = line.removeprefix("!").replace("\\", "/")
+        pattern = pattern if pattern.isascii() else unicodedata.normalize("NFC", pattern)
+        if len(pattern) > V.MOST_PATTERN_BYTES or len(pattern.encode()) > V.MOST_PATTERN_BYTES:
             raise ConfigError(f"{name}:{number}: the pattern is too long")
         if pattern:
             out.append(Rule(pattern, line[0] == "!", not negation))

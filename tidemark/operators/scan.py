@@ -39,7 +39,12 @@ def _path_facts(paths: pd.Series) -> pd.DataFrame:
     """The portable form of each normalised path, if it has one, and what credentials it holds."""
     possible = re.compile(POSSIBLE)
     safe = [None if p is None else P.portable_path(p) for p in paths]
-    return pd.DataFrame({"safe_path": safe, "counts": [redact(p)[1] if p is not None and possible.search(p) else {} for p in safe]}, dtype=object)
+    return pd.DataFrame({"safe_path": safe, "counts": [None if p is None else redact(p)[1] if possible.search(p) else {} for p in safe]}, dtype=object)
+
+
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once for each row. The optimizer pushes predicates through projections with a copy of an expression for each use, but not through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
 
 
 def path_stage(files: DataFrame, rules: Sequence[Rule] = (), output: str | None = None) -> DataFrame:
@@ -48,13 +53,14 @@ def path_stage(files: DataFrame, rules: Sequence[Rule] = (), output: str | None
     Paths of ASCII without anything that a detector looks for are decided in the JVM. For others, one call of Python finds both
     what Unicode tables and what the cascade say of them.
     """
-    files = files.withColumn("_clean", F.when(~F.col("path").contains("\\"), P.normalized(F.col("path"))))
+    files = _settled(files, _clean=F.when(~F.col("path").contains("\\"), P.normalized(F.col("path"))))
     clean = F.col("_clean")
-    files = files.withColumn("_plain", clean.isNotNull() & ~clean.rlike(r"[^\x00-\x7F]") & ~clean.rlike(POSSIBLE))
+    files = _settled(files, _plain=clean.isNotNull() & ~clean.rlike(r"[^\x00-\x7F]") & ~clean.rlike(POSSIBLE))
     files = files.withColumn("_facts", _path_facts(F.when(~F.col("_plain"), clean)))
     nothing = F.create_map().cast("map<string,bigint>")
-    files = files.withColumn("safe_path", F.when(F.col("_plain"), F.when(P.is_portable_ascii(clean), clean)).otherwise(F.col("_facts.safe_path")))
-    files = files.withColumn("path_counts", F.when(F.col("_plain"), nothing).otherwise(F.col("_facts.counts"))).drop("_facts", "_plain")
+    safe = F.when(F.col("_plain"), F.when(P.is_portable_ascii(clean), clean)).otherwise(F.col("_facts.safe_path"))
+    counts = F.when(F.col("_plain"), nothing).otherwise(F.coalesce("_facts.counts", nothing))
+    files = _settled(files, safe_path=safe, path_counts=counts).drop("_facts", "_plain")
     safe = F.col("safe_path")
     reason = (
         F.when(safe.isNull(), "unsafe_path")
@@ -64,7 +70,7 @@ def path_stage(files: DataFrame, rules: Sequence[Rule] = (), output: str | None
         .when((safe == output) if output else F.lit(False), "output_archive")
     )
     shown = F.when(safe.isNull(), P.unsafe_label(F.coalesce("_clean", "path"))).when(F.size("path_counts") > 0, F.lit("<redacted-path>")).otherwise(safe)
-    return files.withColumn("path_reason", reason).withColumn("shown_path", shown).drop("_clean")
+    return _settled(files, path_reason=reason, shown_path=shown).drop("_clean")
 
 
 def collisions(paths: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from tidemark.operators import aggregates
 from tidemark.operators.scan import Scan, chosen_files, collisions, content_stage, path_stage, sanitized_column, scan
 from tidemark.operators.select import greedy_select
 from tidemark.plans import manifest, verify
-from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_columns, document_files, table
+from tidemark.sources.tables import FOLDERS, SUFFIXES, all_files, document_columns, document_files, spread, table
 from tidemark.storage import work_folder
 from tidemark.streaming import drained, redacted_stream
 
@@ -334,7 +334,8 @@ def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return path_stage(all_files(spark, sf_dir).select("path", "text", C.byte_size(F.col("text")).alias("size")), RULES)
+    """The paths of all files and what is decided by them; no content is needed for that."""
+    return path_stage(spread(all_files(spark, sf_dir).select("path"), "path"), RULES)
 
 
 _REASON = f"CASE WHEN {EXCLUDED} THEN 'always_excluded' WHEN {_RULE_SQL} THEN 'project_ignore' END"

@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows that take long each, dealt by these keys over as many tasks as a shuffle has; a small file would be a task or two, whatever its rows take."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path and text of every document: the folder by doc_id, the suffix by language."""
     return document_columns(table(spark, sf_dir, "documents"))
