@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import zipfile
 
 import pytest
@@ -49,6 +50,34 @@ def test_archives_are_streamed(spark):
     assert verify.checked_archives(made).collect() == [] and verify.archive_summaries(made).count() == 7
 
 
+def test_only_wanted_entries_are_read(spark):
+    """An entry that isn't wanted can be spoilt: its content isn't looked at, and doesn't leave Python."""
+    data = pack.archive_of([("a.md", "some text\n"), ("b.md", f'token = "{WORD}"\n')], "p")
+    made = spark.createDataFrame([(7, bytearray(data.replace(b"some text", b"same text")))], "archive long, data binary")
+    rows = verify.listed_entries(made, lambda path: path == "CONTEXT.md").collect()
+    assert [(r.archive, r.path, b"- `files/b.md`" in bytes(r.content)) for r in rows] == [(7, "CONTEXT.md", True)]
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        assert rows[0].n == z.namelist().index("CONTEXT.md") and rows[0].size == len(bytes(rows[0].content))
+    with pytest.raises(Exception, match="CRC"):
+        verify.listed_entries(made).collect()
+
+
+def test_assignments_are_tried_from_their_keys_on():
+    """What a search from the text's beginning finds, in every line and with all that may stand before a key."""
+    prose = "it was said again " * 1000
+    assert R._key_start(prose + "'db-token'  = x", 0, len(prose) + 12) == len(prose) and R._key_start("a: token = x", 9, 9) == 9
+    parts = ("token", "TOKEN", "pa\u017f\u017fword", "to\u212aen", "x" * 255, "_" * 257, "-", "=", ":", " = ", "\t", '"', "'", "\\", "\n", "\r\n", "\u2028", " ", "é", "abcd1234", "${A}", "if")
+    rng, found = random.Random(5), 0
+    for form, edits in ((R.DOUBLE_QUOTED, R._value(R.GENERIC, R._no_secret)), (R.SINGLE_QUOTED, R._value(R.GENERIC, R._no_secret)), (R.BARE, R._value(R.GENERIC, lambda m: R._no_secret(m) or R.is_code(m)))):
+        near, whole = R._assignments(form, edits), R._matches(form, edits)
+        for _ in range(3000):
+            text = "".join(rng.choices(parts, k=rng.randint(2, 24)))
+            want = list(whole(text))
+            assert list(near(text)) == want, text
+            found += len(want)
+    assert found > 500
+
+
 def test_detectors_are_asked_only_where_they_can_match(monkeypatch):
     """Plain prose reaches no form, and characters that (?i) takes for letters of a key still do."""
     assert all(not list(detect("it was said: a = b, at http://x/y@z; 'auth' | more > less " * 9)) for _, detect in R.CASCADE)

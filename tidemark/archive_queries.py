@@ -39,7 +39,7 @@ def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {ARCHIVED} SELECT archive, {_TURN} + 4 AS n, name AS path, octet_length(encode(packed))::BIGINT AS size, sha256(packed) AS sha256 FROM p")
 def archive_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored files of each archive as they are read back, with their places; five generated entries come before them."""
-    entries = verify.listed_entries(archives(spark, sf_dir)).where(F.col("path").startswith("files/"))
+    entries = verify.listed_entries(archives(spark, sf_dir), lambda path: path.startswith("files/"))
     return entries.select("archive", "n", "path", "size", F.sha2("content", 256).alias("sha256"))
 
 
@@ -116,7 +116,7 @@ def archive_inspections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _lines(spark: SparkSession, sf_dir: str, entry: str, wanted: str) -> DataFrame:
     """(archive, n, line) of the lines of an entry that begin so."""
-    text = verify.listed_entries(archives(spark, sf_dir)).where(F.col("path") == entry).select("archive", F.decode("content", "UTF-8").alias("text"))
+    text = verify.listed_entries(archives(spark, sf_dir), lambda path: path == entry).select("archive", F.decode("content", "UTF-8").alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.startswith(wanted))
     return text.select("archive", F.posexplode(lines).alias("n", "line")).select("archive", (F.col("n") + 1).cast("bigint").alias("n"), "line")
 
@@ -133,7 +133,7 @@ def archive_context_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH a AS (SELECT DISTINCT doc_id // 8 AS archive FROM documents), e(path, head) AS (VALUES ('adapters/AGENTS.md', '# Snapshot of docs-'), ('adapters/CLAUDE.md', '# Snapshot of docs-'), ('adapters/IMPORT_PROMPT.md', '# Import docs-')) SELECT archive, path, head || archive AS line FROM a, e")
 def archive_adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = verify.listed_entries(archives(spark, sf_dir)).where(F.col("path").startswith("adapters/") & F.col("path").endswith(".md"))
+    entries = verify.listed_entries(archives(spark, sf_dir), lambda path: path.startswith("adapters/") and path.endswith(".md"))
     return entries.select("archive", "path", F.substring_index(F.decode("content", "UTF-8"), "\n", 1).alias("line"))
 
 

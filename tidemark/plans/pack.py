@@ -203,13 +203,17 @@ def pack_groups(files: DataFrame, project: str, config: Config = Config()) -> Da
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((batch, k) for batch in batches for k in range(batch.num_rows))
-        for name, group in itertools.groupby(rows, lambda x: x[0]["archive"][x[1]].as_py()):
-            kind, held = None, []
-            for batch, k in group:
+        kind = None
+
+        def rows() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
                 kind = batch.schema.field("archive").type
-                held.append((batch["path"][k].as_py(), batch["text"][k].as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([archive_of(held, f"{project}-{name}", config)], pa.binary())], names=["archive", "data"])
+                yield from zip(batch["archive"].to_pylist(), batch["path"].to_pylist(), (text.as_py() for text in batch["text"]))
+
+        for name, group in itertools.groupby(rows(), lambda row: row[0]):
+            made = archive_of([(path, text) for _, path, text in group], f"{project}-{name}", config)
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([made], pa.binary())], names=["archive", "data"])
 
     grouped = files.select("archive", "path", "text").repartition("archive").sortWithinPartitions("archive")
     return grouped.mapInArrow(pack, f"archive {files.schema['archive'].dataType.simpleString()}, data binary")
