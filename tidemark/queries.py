@@ -490,9 +490,9 @@ def work_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DOCS} SELECT source, '{R.GENERIC}' AS kind, sum(len(regexp_extract_all(d.text, 'token = \"[0-9a-f]+\"')))::BIGINT + sum((doc_id % 7 = 0)::BIGINT)::BIGINT AS n FROM docs d JOIN documents USING (doc_id) GROUP BY source HAVING n > 0")
 def secrets_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many secrets of which kind each source has; every seventh document gets one more."""
-    docs = table(spark, sf_dir, "documents")
-    more = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("\ntoken = \""), F.substring(F.sha2("text", 256), 1, 20), F.lit("\""))).otherwise(F.lit(""))
-    found = docs.select("source", R.redacted(F.concat(F.coalesce("text", F.lit("")), more))["counts"].alias("counts"))
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    more = F.when(F.pmod("doc_id", F.lit(7)) == 0, F.concat(F.lit("\ntoken = \""), F.substring(F.sha2(text, 256), 1, 20), F.lit("\""))).otherwise(F.lit(""))
+    found = docs.select("source", R.redacted(F.concat(text, more))["counts"].alias("counts"))
     return found.select("source", F.explode_outer("counts").alias("kind", "n")).where("kind is not null").groupBy("source", "kind").agg(F.sum("n").cast("bigint").alias("n"))
 
 
